@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, packing, quality, simhash
+from . import bpe, langid, linedup, packing, quality, rules, simhash
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_langid": op6_langid,
+    "op7_rules": op7_rules,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
@@ -60,5 +65,35 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f USING (key)
 GROUP BY doc_id
+""",
+    "op7_rules": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS (
+    SELECT r, i, list_slice(words, i, i + 4) AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM docs WHERE len(words) >= 5)
+), twice AS (
+    SELECT r, i FROM grams SEMI JOIN (SELECT r, gram FROM grams GROUP BY r, gram HAVING count(*) > 1) USING (r, gram)
+), covered AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS o(k) GROUP BY r
+), raw AS (
+    SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs
+), lines AS (
+    SELECT r, source, text, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM raw
+), frequent AS (
+    SELECT source, key FROM lines WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT text) >= 20
+), sums AS (
+    SELECT r, count(*) - count(DISTINCT line) AS dup, sum(length(l.key)) AS everything,
+           coalesce(sum(length(l.key)) FILTER (WHERE f.key IS NULL), 0) AS remaining
+    FROM lines l LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key WHERE l.key <> '' GROUP BY r
+), counts AS (
+    SELECT r, doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
+           length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words, coalesce(remaining < 0.4 * everything, false) AS depleted
+    FROM docs LEFT JOIN covered USING (r) LEFT JOIN sums USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT depleted AS kept
+FROM counts
 """,
 }
