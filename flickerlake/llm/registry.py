@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, packing, quality, rules, simhash
+from . import bpe, chat, langid, license_scan, linedup, media, packing, quality, rules, simhash
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    planted = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(*planted.columns)
+    return chat.read_back(chat.format_conversations(turns.unionAll(planted)))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.keep_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -44,7 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
     "op5_line_dedup": op5_line_dedup,
     "op6_langid": op6_langid,
     "op7_rules": op7_rules,

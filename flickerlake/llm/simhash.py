@@ -58,14 +58,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint's bits as a signed long."""
+    return _with_hash(docs, shingle).drop("th")
+
+
+def _with_hash(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, th) with th a hash of the text, as doc_ids may repeat."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("th")], ["doc_id", "fp", "th"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(task, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    return source.mapInArrow(task, "doc_id long, fp long, th long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -224,16 +230,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _grouped(marked: DataFrame, budget: int) -> DataFrame:
+    """(fp, root) of the fingerprints in marked(doc_id, fp), root being the same for all of a component."""
+    distinct = marked.select("fp").distinct()
+    rooted = components(links(distinct, budget))
+    named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left")
+    return materialize(named.select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = components(links(distinct.select("fp"), budget))
-    named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "roots")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(_grouped(marked, budget), "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each component: the smallest doc_id (null last), then the smallest text hash."""
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = materialize(_with_hash(docs, shingle), "fingerprints")
+    rooted = marked.join(_grouped(marked, budget), "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    chosen = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("rep_id"), F.col("p.th").alias("rep_th"))
+    if not marked.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        docs = docs.withColumn("_text_hash", th).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th"))
+    on = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
+    return rows.join(chosen.hint("shuffle_hash"), on, "left_semi").select("row.*")
 
 
 def hex_digits(fp: str) -> Column:
