@@ -118,5 +118,8 @@ def keep_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none", in
     text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
     kept = F.when(F.col("keep_runs").isNull(), text).otherwise(_kept(text, F.col("keep_runs")))
     dropped = F.aggregate(F.col("keep_runs"), F.struct(F.lit(0).alias("n"), F.lit(False).alias("drop")), lambda a, x: F.struct((a["n"] + F.when(a["drop"], x).otherwise(0)).alias("n"), (~a["drop"]).alias("drop")), lambda a: a["n"])
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    # the row's own columns come back in a step of their own, as their names may be those used here
+    done = joined.select("row", kept.alias("kept_text"), n_lines.cast("long").alias("lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("gone"))
     others = [F.col("row")[c].alias(c) for c in docs.columns if c not in (into, "n_lines", "n_dropped")]
-    return joined.select(*others, kept.alias(into), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"))
+    return done.select(*others, F.col("kept_text").alias(into), F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"))

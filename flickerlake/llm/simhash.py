@@ -255,9 +255,9 @@ def keep_representatives(docs: DataFrame, budget: int = BUDGET, shingle: int = S
     rooted = marked.join(_grouped(marked, budget), "fp")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     chosen = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("rep_id"), F.col("p.th").alias("rep_th"))
-    if not marked.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        docs = docs.withColumn("_text_hash", th).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th"))
+    if not marked.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "th"])
     on = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
     return rows.join(chosen.hint("shuffle_hash"), on, "left_semi").select("row.*")
 
