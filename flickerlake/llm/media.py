@@ -157,7 +157,9 @@ class ArchiveReader(DataSourceReader):
             archives = [(i.base_name, i.size) for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".zip")]
         return [Range(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive, so no range was planned
+            return
         store, root = _store(self.path)
         place = f"{root}/{partition.archive}"
         handle = None

@@ -65,8 +65,9 @@ def features(text: str | None, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray
     packed = np.fromiter(map(_tokens.__getitem__, (m.group() for m in TOKEN.finditer(text or ""))), np.uint64)
     at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for begin in range(0, len(packed), CHUNK):
-        part = packed[max(0, begin - 2) : begin + CHUNK]
-        fresh = begin - max(0, begin - 2)
+        # three tokens of overlap: a shape trigram's first shape depends on the token before it
+        fresh = min(begin, 3)
+        part = packed[begin - fresh : begin + CHUNK]
         word, shape = part >> np.uint64(32), part & np.uint64(0xFFFFFFFF)
         same = np.r_[False, word[1:] == word[:-1]]
         shape = shape + same.astype(np.uint64) * np.uint64(0x5BD1E995)
