@@ -4,7 +4,7 @@ Texts are lower-cased and all runs without letters become one blank; n-grams of
 characters are hashed into ``dims`` buckets over the whole text. Document frequencies are counted over
 all learnable documents, by one vector for each task and a tree of sums. The regression is trained on
 the driver with follow-the-regularised-leader under elastic-net penalties, on about ``per_language``
-documents of each language (a bounded sample chosen by a hash of doc_id, which is its only use), and
+documents of each language and ``max_rows`` in all (a bounded sample chosen by a hash of doc_id, its only use), and
 calibrated by a temperature on a fifth of them that isn't trained on.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where nothing could
@@ -30,6 +30,7 @@ DIMS = 1 << 15
 ORDERS = 3
 PER_LANGUAGE = 800
 MAX_LANGUAGES = 500
+MAX_ROWS = 8000
 UNDETERMINED = "und"
 CHUNK = 1 << 20
 FAN_IN = 64
@@ -134,6 +135,7 @@ def fit(
     dims: int = DIMS,
     per_language: int = PER_LANGUAGE,
     max_languages: int = MAX_LANGUAGES,
+    max_rows: int = MAX_ROWS,
     epochs: int = 3,
     l1: float = 2e-2,
     l2: float = 1e-3,
@@ -148,7 +150,7 @@ def fit(
     idf = np.log((1 + n) / (1 + df)) + 1
 
     chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*(F.lit(x) for k, c in counts.items() for x in (k, min(1.0, per_language / c))))
+    rate = F.create_map(*(F.lit(x) for k, c in counts.items() for x in (k, min(1.0, min(per_language, max_rows / len(counts)) / c))))
     chosen = rows.where(chance < F.coalesce(rate[F.col("lang")], F.lit(0.0)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -212,3 +212,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(task, SCHEMA)
+
+
+def oracle_sql(templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> str:
+    """The scan without retrieval: exact containment of every template in every window, without characters' places."""
+    index = Index(templates or TEMPLATES, containment=containment)
+    rows = []
+    for t, (name, text) in enumerate((templates or TEMPLATES).items()):
+        words = [w.lower() for w in WORD.findall(text)]
+        step = next(s for (s, _), tables in index.geometry.items() if any(t in ts for ts in tables[0].values()))
+        for shingle in sorted({" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}):
+            rows.append(f"('{name}', {step}, {index.windows[t]}, {len(index.shingles[t])}, '{shingle}')")
+    return f"""
+WITH template(template, step, win, n, shingle) AS (VALUES {", ".join(rows)}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)) AS words FROM documents),
+shingles AS (
+    SELECT r, doc_id, i, array_to_string(list_slice(words, i + 1, i + {SHINGLE}), ' ') AS shingle
+    FROM (SELECT r, doc_id, words, unnest(range(0, len(words) - {SHINGLE - 1})) AS i FROM docs WHERE len(words) >= {SHINGLE})
+),
+hit AS (SELECT * FROM shingles JOIN template USING (shingle)),
+windowed AS (
+    SELECT r, doc_id, template, win, w, count(DISTINCT shingle) / n::DOUBLE AS containment, min(i) AS first_i, max(i) AS last_i
+    FROM (SELECT *, unnest(range(greatest(0, (i - win + step) // step * step), i + 1, step)) AS w FROM hit)
+    WHERE w <= i AND w > i - win GROUP BY r, doc_id, template, win, n, w HAVING count(DISTINCT shingle) / n::DOUBLE >= {containment}
+),
+marked AS (SELECT *, coalesce(w >= lag(w) OVER (PARTITION BY r, template ORDER BY w) + win, true)::INT AS fresh FROM windowed),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY w) AS run FROM marked),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, template, run ORDER BY containment DESC, w) AS k FROM runs)
+SELECT doc_id, template, first_i AS start_word, last_i - first_i + {SHINGLE} AS n_words, containment FROM best WHERE k = 1
+"""

@@ -12,7 +12,8 @@ from .common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "template", "start_word", "n_words", "containment")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, i AS pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
