@@ -24,6 +24,7 @@ from .common import SPACE_CHARS, ascii_lower
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
+SALTS = 16
 
 
 def _text(text: str = "text") -> Column:
@@ -58,7 +59,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none")
     counted = streamed.groupBy("h1", "h2").agg(F.sum((F.col("nth") == 1).cast("long")).alias("n"), F.min(place).alias("first"), F.count("*").alias("lines"))
     enough = F.col("n") >= min_docs
     frequent = counted.where(enough if keep == "none" else enough & (F.col("lines") > 1)).select("h1", "h2", "first")
-    hit = streamed.join(frequent, ["h1", "h2"])
+    # a key's lines are dealt by SALTS parts of their documents; of frequent keys, which are few, there
+    # are as many copies. The part is an expression of the join, so both readers share one range shuffle.
+    part = F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int")
+    spread = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    hit = streamed.join(spread, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (part == F.col("part")))
     if keep == "first":
         hit = hit.where(place != F.col("first"))
     dropped = hit.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
