@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.events import long, ring_run
@@ -28,10 +28,10 @@ def ring_values(images: DataFrame) -> DataFrame:
     return to.groupBy("frame", "x", "y").agg(at(0).alias("v"), F.array(*(at(k + 1) for k in range(16))).alias("ring"))
 
 
-def fast_corners(images: DataFrame, plane: DataFrame) -> DataFrame:
+def fast_corners(images: DataFrame, width: Column, height: Column) -> DataFrame:
     """(frame, x, y) where nine neighbours on the ring in a row are all darker or all brighter by over THRESHOLD."""
-    rings = ring_values(images).join(F.broadcast(plane))
-    inside = F.col("x").between(BORDER, F.col("w") - BORDER - 1) & F.col("y").between(BORDER, F.col("h") - BORDER - 1)
+    rings = ring_values(images)
+    inside = F.col("x").between(BORDER, width - BORDER - 1) & F.col("y").between(BORDER, height - BORDER - 1)
     ring, v = [F.col("ring")[k] for k in range(16)], F.col("v")
     corner = ring_run([r < v - THRESHOLD for r in ring]) | ring_run([r > v + THRESHOLD for r in ring])
     return rings.where(inside).where(corner).select("frame", "x", "y")

@@ -39,9 +39,9 @@ def forward_fill(events: DataFrame, ref: int, tpf: int) -> DataFrame:
     from pyspark.sql import Window
 
     runs = frame_runs(events, ref, tpf)
-    # one row, read from time alone
-    end = events.agg(whole(F.greatest(F.max("t") - 1, F.lit(0)), tpf).alias("end"))
+    # read from time alone
+    end = events.agg(whole(F.greatest(F.max("t") - 1, F.lit(0)), tpf)).scalar()
     w = Window.partitionBy("x", "y").orderBy("first")
     final = F.lead("first").over(w).isNull()
-    held = runs.withColumn("final", final).join(F.broadcast(end))
-    return explode_runs(held.withColumn("last", F.when(F.col("final"), F.greatest("last", "end")).otherwise(F.col("last"))))
+    held = runs.withColumn("final", final)
+    return explode_runs(held.withColumn("last", F.when(F.col("final"), F.greatest(F.col("last"), end)).otherwise(F.col("last"))))

@@ -33,17 +33,17 @@ REACH = T.WIDTH / 3.0
 
 def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pixel_events(spark, sf_dir)
-    return O.fast_corners(T.daily_image(e), T.plane(e))
+    return O.fast_corners(T.daily_image(e), *T.plane(e))
 
 
 def rebuilt_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.fast_corners(filled(spark, sf_dir), T.plane(pixel_events(spark, sf_dir)))
+    return O.fast_corners(filled(spark, sf_dir), *T.plane(pixel_events(spark, sf_dir)))
 
 
 def _reach(spark: SparkSession, sf_dir: str) -> float:
     """A third of the plane's smaller side; one number."""
-    w, h = T.plane(pixel_events(spark, sf_dir)).first()
-    return min(w, h or 0) / 3.0
+    h = pixel_events(spark, sf_dir).agg(F.max("y") + 1).first()[0]
+    return min(T.WIDTH, h or 0) / 3.0
 
 
 _REACH = "(SELECT least(w, h) / 3.0::DOUBLE FROM plane)"
@@ -127,9 +127,10 @@ def feature_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rebuilt_corners(spark, sf_dir).withColumn("is_found", F.lit(True))
     t, f = F.col("is_true").isNotNull(), F.col("is_found").isNotNull()
     sums = truth.join(found, ["frame", "x", "y"], "full").groupBy("frame").agg(F.count(F.when(t & f, 1)).alias("tp"), F.count(F.when(~t, 1)).alias("fp"), F.count(F.when(~f, 1)).alias("fn"))
-    area, tp, fp, fn = F.col("w") * F.col("h"), F.col("tp"), F.col("fp"), F.col("fn")
+    w, h = T.plane(pixel_events(spark, sf_dir))
+    area, tp, fp, fn = w * h, F.col("tp"), F.col("fp"), F.col("fn")
     share = lambda a, b: F.round(F.when(b > 0, a / b), 9)
-    return sums.join(F.broadcast(T.plane(pixel_events(spark, sf_dir)))).select("frame", "tp", "fp", "fn", (area - tp - fp - fn).alias("tn"), share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall"), share(area - fp - fn, area).alias("accuracy"))
+    return sums.select("frame", "tp", "fp", "fn", (area - tp - fp - fn).alias("tn"), share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall"), share(area - fp - fn, area).alias("accuracy"))
 
 
 @query("feature_neighbors", _PAIRS + " SELECT frame, x, y, nx, ny, dist2 FROM pairs")
@@ -156,8 +157,8 @@ def cluster_bboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes around clusters of core points, those under a quarter of the plane."""
     labelled = O.clusters(corners(spark, sf_dir), _reach(spark, sf_dir))
     boxes = labelled.groupBy("frame", "cluster").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
-    small = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < F.col("w") * F.col("h") / 4.0
-    return boxes.join(F.broadcast(T.plane(pixel_events(spark, sf_dir))), small).drop("w", "h")
+    w, h = T.plane(pixel_events(spark, sf_dir))
+    return boxes.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < w * h / 4.0)
 
 
 @query("feature_radius_reset", CORNERS + " SELECT DISTINCT c.frame, c.x + i AS x, c.y + j AS y, 2::BIGINT AS threshold FROM corner c, range(-1, 2) AS a(i), range(-1, 2) AS b(j), plane WHERE c.x + i BETWEEN 0 AND w - 1 AND c.y + j BETWEEN 0 AND h - 1")
@@ -165,5 +166,6 @@ def feature_radius_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels within a square of radius 1 around a corner, whose threshold falls to 2."""
     spots = F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     near = corners(spark, sf_dir).select("frame", F.explode(spots).alias("s")).select("frame", "s.x", "s.y").distinct()
-    inside = F.col("x").between(0, F.col("w") - 1) & F.col("y").between(0, F.col("h") - 1)
-    return near.join(F.broadcast(T.plane(pixel_events(spark, sf_dir))), inside).select("frame", "x", "y", E.long(F.lit(2)).alias("threshold"))
+    w, h = T.plane(pixel_events(spark, sf_dir))
+    inside = F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)
+    return near.where(inside).select("frame", "x", "y", E.long(F.lit(2)).alias("threshold"))

@@ -50,7 +50,8 @@ def frame_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pixel_events(spark, sf_dir)
     counts = O.reconstruct(e, T.REF, T.DAY).groupBy("frame").agg(F.count("*").alias("filled"))
-    return counts.join(F.broadcast(T.plane(e))).select("frame", "filled", (F.col("filled") == F.col("w") * F.col("h")).alias("complete"))
+    w, h = T.plane(e)
+    return counts.select("frame", "filled", (F.col("filled") == w * h).alias("complete"))
 
 
 @query("frame_bytes", FILLED + """, spot AS (SELECT frame, y, unnest(range(0, 15)) AS x FROM (SELECT DISTINCT frame, y FROM filled))

@@ -22,7 +22,8 @@ def stream_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pixel_events(spark, sf_dir)
     lit = F.when(F.col("d") < E.D_ZERO, E.intensity(F.col("d"), F.col("dt")))
     sums = with_delta(e).agg(F.count("*").alias("n_events"), F.min(lit).alias("a"), F.max(lit).alias("b"))
-    return sums.join(F.broadcast(T.plane(e))).select("n_events", (F.col("n_events") * 9 + 33 + 11).alias("n_bytes"), F.round(F.col("n_events") / (F.col("w") * F.col("h")), 9).alias("per_pixel"), F.round("a", 12).alias("least"), F.round("b", 12).alias("greatest"))
+    w, h = T.plane(e)
+    return sums.select("n_events", (F.col("n_events") * 9 + 33 + 11).alias("n_bytes"), F.round(F.col("n_events") / (w * h), 9).alias("per_pixel"), F.round("a", 12).alias("least"), F.round("b", 12).alias("greatest"))
 
 
 @query("dynamic_range", f", r AS (SELECT min({_LIGHT}) AS lo, max({_LIGHT}) AS hi FROM delta WHERE d < 128) SELECT round(20 * log10(pow(2.0, 127) / (1.0 / 86400)), 6) AS theoretical_db, round(log2(pow(2.0, 127) / (1.0 / 86400)), 6) AS theoretical_bits, round(20 * log10(hi / lo), 6) AS realized_db, round(log2(hi / lo), 6) AS realized_bits FROM r")
@@ -38,8 +39,8 @@ def dynamic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_count_heatmap", ", n AS (SELECT x, y, count(*) AS n FROM px GROUP BY ALL) SELECT x, y, n, trunc(n * 255.0::DOUBLE / (SELECT max(n) FROM n))::BIGINT AS heat FROM n")
 def event_count_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pixel_events(spark, sf_dir).groupBy("x", "y").agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    return counts.join(F.broadcast(most)).select("x", "y", "n", E.long(F.floor(F.col("n") * 255.0 / F.col("most"))).alias("heat"))
+    most = counts.agg(F.max("n")).scalar()
+    return counts.select("x", "y", "n", E.long(F.floor(F.col("n") * 255.0 / most)).alias("heat"))
 
 
 @query("event_rate", """, s AS (SELECT t // 3600 AS interval_no, count(*) AS n FROM px GROUP BY ALL)
@@ -53,13 +54,13 @@ def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = counts.groupBy("day").agg(F.sum("n").alias("of_day"))
     earlier = days.select("day", F.coalesce(F.sum("of_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     within = F.sum("n").over(Window.partitionBy("day").orderBy("interval_no"))
-    rows = counts.withColumn("within", within).join(earlier, "day").join(F.broadcast(T.plane(e)))
+    rows, (w, h) = counts.withColumn("within", within).join(earlier, "day"), T.plane(e)
     return rows.select(
         "interval_no",
         "n",
         F.round(F.col("n") / 3600.0, 9).alias("per_second"),
         F.round(F.col("n") * 72 / 3600.0, 9).alias("bits_per_second"),
-        F.round(F.col("n") / 3600.0 / (F.col("w") * F.col("h")), 12).alias("per_pixel_second"),
+        F.round(F.col("n") / 3600.0 / (w * h), 12).alias("per_pixel_second"),
         (F.col("earlier") + F.col("within")).alias("total"),
     )
 

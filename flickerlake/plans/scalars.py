@@ -103,10 +103,10 @@ def surface_active_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("coord_border_filter", " SELECT x, y, seq FROM px, plane WHERE x >= 3 AND x < w - 3 AND y >= 3 AND y < h - 3 AND NOT (x = 65535 AND y = 65535)")
 def coord_border_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pixel_events(spark, sf_dir)
-    inside = (F.col("x") >= 3) & (F.col("x") < F.col("w") - 3) & (F.col("y") >= 3) & (F.col("y") < F.col("h") - 3)
+    w, h = T.plane(e)
+    inside = (F.col("x") >= 3) & (F.col("x") < w - 3) & (F.col("y") >= 3) & (F.col("y") < h - 3)
     valid = ~((F.col("x") == E.EOF_ADDRESS) & (F.col("y") == E.EOF_ADDRESS))
-    # the plane is one row
-    return e.join(F.broadcast(T.plane(e)), inside & valid).select(*_KEY)
+    return e.where(inside & valid).select(*_KEY)
 
 
 @query("playable_filter", " SELECT x, y, d, t, seq FROM px WHERE d <= 128")
@@ -159,8 +159,9 @@ def roi_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits a second of the raw source, by mode: frames, polarity events of nine bytes, or both."""
     e = pixel_events(spark, sf_dir)
-    day = e.groupBy(E.whole(F.col("t"), T.DAY).alias("frame")).agg(F.count("*").alias("n")).join(F.broadcast(T.plane(e)))
-    area, dvs = F.col("w") * F.col("h") * 8.0, F.col("n") / float(T.DAY) * 72.0
+    day = e.groupBy(E.whole(F.col("t"), T.DAY).alias("frame")).agg(F.count("*").alias("n"))
+    w, h = T.plane(e)
+    area, dvs = w * h * 8.0, F.col("n") / float(T.DAY) * 72.0
     return day.select("frame", (area * (1.0 / T.REF)).alias("framed_bps"), dvs.alias("dvs_bps"), (dvs + area / float(T.DAY)).alias("davis_bps"))
 
 
@@ -172,8 +173,8 @@ def crf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of each pixel's quality level; the feature radius is a share of the smaller side."""
     e = pixel_events(spark, sf_dir)
     levels = spark.createDataFrame(E.QUALITY_LEVELS, "crf long, base long, most long, velocity long, divisor long")
-    side = F.least("w", "h")
+    side = F.least(*T.plane(e))
     radius = F.when(F.col("divisor") == 0, 0).otherwise(F.floor(side / F.greatest("divisor", F.lit(1))))
-    # ten fixed rows, and one row for the plane
-    p = e.select("x", "y").distinct().join(F.broadcast(levels), (F.col("x") + F.col("y")) % 10 == F.col("crf")).join(F.broadcast(T.plane(e)))
+    # ten fixed rows
+    p = e.select("x", "y").distinct().join(F.broadcast(levels), (F.col("x") + F.col("y")) % 10 == F.col("crf"))
     return p.select("x", "y", "crf", "base", "most", "velocity", E.long(radius).alias("radius"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.events import D_EMPTY, D_ZERO, long, whole
@@ -35,9 +35,9 @@ def pixel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plane(events: DataFrame) -> DataFrame:
-    """One row (w, h): the plane that the events span."""
-    return events.agg(F.lit(WIDTH).cast("long").alias("w"), (F.max("y") + 1).alias("h"))
+def plane(events: DataFrame) -> tuple[Column, Column]:
+    """Width and height of the plane that the events span; the height is a scalar subquery."""
+    return F.lit(WIDTH).cast("long"), events.agg(F.max("y") + 1).scalar()
 
 
 def daily_image(events: DataFrame) -> DataFrame:

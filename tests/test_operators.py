@@ -76,8 +76,7 @@ def test_corners_against_a_walk(spark):
         return False
 
     df = spark.createDataFrame([(0, x, y, v) for (x, y), v in image.items()], "frame long, x long, y long, v long")
-    plane = spark.createDataFrame([(w, h)], "w long, h long")
-    got = {(r.x, r.y) for r in features.fast_corners(df, plane).collect()}
+    got = {(r.x, r.y) for r in features.fast_corners(df, F.lit(w), F.lit(h)).collect()}
     assert (6, 6) in got and got == {(x, y) for x in range(3, w - 3) for y in range(3, h - 3) if corner(x, y)}
 
 
