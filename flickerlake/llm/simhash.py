@@ -36,6 +36,7 @@ SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 CHUNK = 1 << 16
 FRONTIER = 1 << 18
+SALTS = 8
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -211,15 +212,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a < b), root the smallest node of its component.
 
     Large star: each node's greater neighbours move to its smallest neighbour; small star: each
-    node's smaller neighbours do. Both are a minimum by key, pre-aggregated, and a join with it.
+    node's smaller neighbours do. Both are a minimum by key, pre-aggregated, and a join with it, in
+    which a node's edges are dealt by SALTS parts, as a hub may have most of them.
     """
+
+    def joined(edges: DataFrame, key: str, other: str, least: DataFrame) -> DataFrame:
+        spread = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return edges.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(spread, [key, "part"]).drop("part")
+
     edges = materialize(edges, "edges")
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = joined(both.where("b > a"), "a", "b", least).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(up, "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        small = joined(large, "b", "a", up).select("m", F.explode(F.array("a", "b")).alias("v")).where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b"))
         after = materialize(small.distinct(), "edges")
         # done when every node hangs on one root that hangs on nothing
         roots = after.select(F.col("a").alias("b")).distinct()
