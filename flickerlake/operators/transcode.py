@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.events import D_EMPTY, D_MAX, D_ZERO
-from .folds import fold
+from .folds import LOG_MIDDLE, LOG_STEP, fold
 
 TINY = 2.0**-23
 
@@ -210,3 +210,106 @@ def transcode(images: DataFrame, options: Options) -> DataFrame:
             s["n"] += 1
 
     return fold(images, ["v"], start, step, _EVENTS, order=("frame",))
+
+
+def _shown(log: float) -> float:
+    return (math.exp(log) - 1) * 255
+
+
+class _Numbered:
+    """A pixel with the count of events it has given."""
+
+    def __init__(self, options: Options):
+        self.pixel, self.n = Pixel(options, threshold=options.baseline), 0
+
+    def give(self, events: list[tuple[int, int]]) -> Iterable[tuple]:
+        for event in events:
+            yield self.n, *event
+            self.n += 1
+
+
+def transcode_polarity(events: DataFrame, options: Options, theta: float = LOG_STEP) -> DataFrame:
+    """(x, y, n, d, t): events of a pixel that only polarity events (t, p) are known of.
+
+    Its logarithm starts in the middle of the range. Before each event the value held so far is
+    gathered for the ticks in between, after it the moved value for one; a value out of range becomes
+    the middle. Each source tick lasts one reference interval.
+    """
+
+    def start() -> _Numbered:
+        s = _Numbered(options)
+        s.last, s.log = 2, LOG_MIDDLE
+        return s
+
+    def settle(s: _Numbered) -> float:
+        if not 0 <= _shown(s.log) <= 255:
+            s.log = LOG_MIDDLE
+            return 128.0
+        return _shown(s.log)
+
+    def step(s: _Numbered, row: tuple) -> Iterable[tuple]:
+        t, p = row
+        if t < s.last:
+            return
+        gap, moved = t - s.last - 1, t > s.last
+        if gap > 0:
+            v = settle(s)
+            yield from s.give(s.pixel.step(int(v), v * gap, float(gap * options.ref)))
+        s.log += theta if p else -theta
+        s.last = t
+        if moved:
+            v = settle(s)
+            yield from s.give(s.pixel.step(int(v), v, float(options.ref)))
+
+    return fold(events, ["t", "p"], start, step, _EVENTS)
+
+
+def transcode_sensor(events: DataFrame, options: Options, contrast: float = 0.15) -> DataFrame:
+    """(x, y, n, d, t): events of a pixel that has both frames and polarity events.
+
+    ``frame`` marks rows whose v8 is a frame's value at t. Such a row first fills the gap since the
+    pixel's last row with the value held so far, then is shown for one reference interval. A polarity
+    event also fills the gap, then scales the held logarithm by exp(+-contrast); if the value leaves
+    the threshold around its base, what has been gathered is popped. Values are held in range.
+    """
+
+    def start() -> _Numbered:
+        s = _Numbered(options)
+        s.last, s.log = None, 0.0
+        return s
+
+    def value(s: _Numbered) -> float:
+        v = min(max(_shown(s.log), 0.0), 255.0)
+        s.log = math.log1p(v / 255)
+        return v
+
+    def step(s: _Numbered, row: tuple) -> Iterable[tuple]:
+        t, p, v8, frame = row
+        pixel = s.pixel
+        gap = 0 if s.last is None else t - s.last
+        if gap < 0 or (s.last is None and not frame):
+            return
+        held = value(s)
+        light = held / options.ref * gap
+        if frame:
+            if gap:
+                yield from s.give(pixel.step(int(held), light, float(gap)))
+            s.log = math.log1p(v8 / 255)
+            yield from s.give(pixel.step(v8, float(v8), float(options.ref)))
+            s.last = t + options.ref
+            return
+        if gap:
+            if pixel.due:
+                yield from s.give(pixel.pop_top(light))
+            pixel.integrate(light, float(gap))
+            if pixel.due:
+                yield from s.give(pixel.pop_top(light))
+        s.log *= math.exp(contrast if p else -contrast)
+        new = value(s)
+        if abs(int(new) - pixel.base) > pixel.threshold:
+            yield from s.give(pixel.pop_best(new))
+            pixel.base = int(new)
+            yield from s.give(pixel.aim(new))
+        s.last = t
+
+    return fold(events, ["t", "p", "v8", "frame"], start, step, _EVENTS)

@@ -82,3 +82,17 @@ def pixel_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("transcode_frames")
 def transcode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.transcode(T.daily_image(pixel_events(spark, sf_dir)), X.Options(baseline=2, most=7, velocity=7))
+
+
+@query("polarity_transcode")
+def polarity_transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of pixels known by polarity alone, on ticks of an hour."""
+    e = pixel_events(spark, sf_dir).withColumn("t", F.floor(F.col("t") / T.REF))
+    return X.transcode_polarity(e, X.Options(baseline=2, most=7, velocity=7))
+
+
+@query("sensor_transcode")
+def sensor_transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of pixels with frames (every fifth row) and polarity between them, a row's gap within its frame."""
+    e = pixel_events(spark, sf_dir).withColumn("frame", F.col("seq") % 5 == 0).withColumn("t", F.floor(F.col("t") / 60))
+    return X.transcode_sensor(e, X.Options(baseline=2, most=7, velocity=7))

@@ -70,3 +70,39 @@ def test_constant_pixel_needs_few_events():
     events = [e for _ in range(200) for e in p.step(100, 100.0, 255.0)]
     assert len(events) < 10
     assert p.step(200, 200.0, 255.0)
+
+
+def rows(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.x, r.y, r.n)):
+        out.setdefault((r.x, r.y), []).append((r.d, r.t))
+    return out
+
+
+def test_polarity_events_move_the_value(spark):
+    from flickerlake.operators import transcode as X
+
+    up = [(0, 0, t, k, 1, 0) for k, t in enumerate(range(10, 400, 10))]
+    down = [(1, 0, t, k, 0, 0) for k, t in enumerate(range(10, 400, 10))]
+    df = spark.createDataFrame(up + down, "x long, y long, t long, seq long, p long, v8 long")
+    got = rows(X.transcode_polarity(df, X.Options(baseline=2, most=7, velocity=7)))
+    assert set(got) == {(0, 0), (1, 0)}
+    for events in got.values():
+        times = [t for _, t in events]
+        assert times == sorted(times) and times[-1] <= 400 * 255
+    # light gathered in a tick grows with ON events and shrinks with OFF events
+    rate = lambda events: sum(2.0**d for d, _ in events if d <= 127) / events[-1][1]
+    assert rate(got[0, 0]) > rate(got[1, 0])
+
+
+def test_sensor_rows_before_a_frame_are_ignored_and_time_ascends(spark):
+    from flickerlake.operators import transcode as X
+
+    data = [(0, 0, 5, 0, 1, 0, False)]
+    data += [(0, 0, 1000 * k, 10 * k, 0, 40 * k % 256, True) for k in range(1, 9)]
+    data += [(0, 0, 1000 * k + 300 + 50 * j, 10 * k + j, j % 2, 0, False) for k in range(1, 9) for j in range(1, 6)]
+    df = spark.createDataFrame(data, "x long, y long, t long, seq long, p long, v8 long, frame boolean")
+    got = rows(X.transcode_sensor(df, X.Options(baseline=2, most=7, velocity=7)))[0, 0]
+    times = [t for _, t in got]
+    assert len(got) > 8 and times == sorted(times) and times[-1] <= 9000
+    assert rows(X.transcode_sensor(df.where("not frame"), X.Options())) == {}
