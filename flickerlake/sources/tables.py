@@ -59,3 +59,26 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.lit(60.0), F.col("o_totalprice") % 70.0).alias("quality"),
         F.when(key % 7 == 0, F.lit(None)).otherwise((key % 11) / 10.0).cast("double").alias("precision"),
     )
+
+
+def json_events(spark: SparkSession, path: str) -> DataFrame:
+    """(x, y, c, d, delta_t, seq) of JSON files that hold an array of events each; 254 is an old code for zero light."""
+    from pyspark.sql import types as S
+
+    ints = lambda *names: S.StructType([S.StructField(n, S.LongType()) for n in names])
+    event = S.StructType([S.StructField("coord", ints("x", "y", "c")), *ints("d", "delta_t")])
+    rows = spark.read.option("multiLine", True).schema(event).json(path)
+    numbered = rows.withColumn("seq", F.monotonically_increasing_id())
+    d = F.when(F.col("d") == 254, D_ZERO).otherwise(F.col("d"))
+    return numbered.select("coord.x", "coord.y", "coord.c", long(d).alias("d"), "delta_t", "seq")
+
+
+#: Log names: the video, the quality level, and the time of the run.
+LOG_NAME = r"^(.*)_(\d+)_(\d{2}_\d{2}_\d{4}_\d{2}_\d{2}_\d{2})\.log$"
+
+
+def log_names(names: DataFrame, column: str = "name") -> DataFrame:
+    """(name, video, crf, at) of evaluation logs, from their names alone; others are left out."""
+    part = lambda k: F.regexp_extract(column, LOG_NAME, k)
+    named = names.where(F.col(column).rlike(LOG_NAME))
+    return named.select(F.col(column).alias("name"), part(1).alias("video"), part(2).cast("long").alias("crf"), F.to_timestamp(part(3), "dd_MM_yyyy_HH_mm_ss").alias("at"))

@@ -52,3 +52,19 @@ def test_polarity_file(spark, tmp_path):
     (tmp_path / "a.dat").write_bytes(b"% Height 300\n% Width 1024\n\x00\x08" + body)
     rows = spark.read.format("polarity_events").load(str(tmp_path / "a.dat")).collect()
     assert [tuple(r) for r in rows] == events
+
+
+def test_json_events(spark, tmp_path):
+    from flickerlake.sources.tables import json_events
+
+    (tmp_path / "e.json").write_text('[{"coord": {"x": 0, "y": 186, "c": null}, "d": 254, "delta_t": 255}, {"coord": {"x": 0, "y": 186, "c": 1}, "d": 7, "delta_t": 300}]')
+    rows = json_events(spark, str(tmp_path / "e.json")).orderBy("seq").collect()
+    assert [(r.x, r.y, r.c, r.d, r.delta_t) for r in rows] == [(0, 186, None, 128, 255), (0, 186, 1, 7, 300)]
+
+
+def test_log_names(spark):
+    from flickerlake.sources.tables import log_names
+
+    df = spark.createDataFrame([("park_run_3_05_11_2023_10_20_30.log",), ("other.txt",)], "name string")
+    (r,) = log_names(df).collect()
+    assert (r.video, r.crf, str(r["at"])) == ("park_run", 3, "2023-11-05 10:20:30")
