@@ -27,6 +27,7 @@ MIN_LEFT = 0.4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+SALTS = 16
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -93,7 +94,10 @@ def depleted(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, mi
     lines = host_lines(docs, host)
     texts = lines.groupBy("host", "h1", "h2", "th").agg(F.lit(1).alias("one"))
     frequent = texts.groupBy("host", "h1", "h2").count().where(F.col("count") >= max_docs).select(F.col("host").alias("fhost"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
-    on = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & F.col("host").eqNullSafe(F.col("fhost"))
+    # a line's documents are dealt by SALTS parts, so one that all share isn't read by one task
+    lines = lines.withColumn("part", F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int"))
+    frequent = frequent.withColumn("fpart", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("part") == F.col("fpart")) & F.col("host").eqNullSafe(F.col("fhost"))
     left = F.sum(F.when(F.col("f1").isNull(), F.col("chars")).otherwise(0))
     sums = lines.join(frequent, on, "left").groupBy("d", "th", "host").agg(left.alias("left"), F.sum("chars").alias("all"))
     return sums.where(F.col("left") < F.lit(min_left) * F.col("all")).select("d", "th", "host")
