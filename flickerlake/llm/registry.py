@@ -109,7 +109,7 @@ WITH docs AS (
 ), counts AS (
     SELECT r, doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
            length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
-           coalesce(n, 0) AS n_repeat_words, coalesce(remaining < 0.4 * everything, false) AS depleted
+           coalesce(n, 0) AS n_repeat_words, coalesce(remaining < 0.3 * everything, false) AS depleted
     FROM docs LEFT JOIN covered USING (r) LEFT JOIN sums USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

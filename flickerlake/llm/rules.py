@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower
 
 MAX_DOCS = 20
-MIN_LEFT = 0.4
+MIN_LEFT = 0.3
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
