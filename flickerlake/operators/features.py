@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.events import long, ring_run
+from ..lineage import materialize
 
 # The ring of 16 pixels at distance 3 as (x, y), in order, and the corner test's threshold.
 RING = [(0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1), (-3, 0), (-3, 1), (-2, 2), (-1, 3)]
@@ -61,7 +62,8 @@ def clusters(points: DataFrame, reach: float) -> DataFrame:
 
     Frames are clustered on their own; a frame's core points are bounded by its plane.
     """
-    core = core_points(points, reach).select("frame", "x", "y")
+    core = materialize(core_points(points, reach).select("frame", "x", "y"), "core")
+    # core points are read from a table, as the self-join would find them twice
     links = neighbours(core, reach).select("frame", (F.col("y") * 65536 + F.col("x")).alias("a"), (F.col("ny") * 65536 + F.col("nx")).alias("b"))
 
     def label(links: pa.Table) -> pa.Table:

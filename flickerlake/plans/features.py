@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import events as E
+from ..lineage import materialize
 from ..operators import features as O
 from ..sources import tables as T
 from ..sources.tables import pixel_events
@@ -40,6 +41,11 @@ def rebuilt_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.fast_corners(filled(spark, sf_dir), *T.plane(pixel_events(spark, sf_dir)))
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners from a table: a self-join reads them twice, and they are few beside the images."""
+    return materialize(corners(spark, sf_dir), "corners")
+
+
 def _reach(spark: SparkSession, sf_dir: str) -> float:
     """A third of the plane's smaller side; one number."""
     h = pixel_events(spark, sf_dir).agg(F.max("y") + 1).first()[0]
@@ -135,12 +141,12 @@ def feature_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feature_neighbors", _PAIRS + " SELECT frame, x, y, nx, ny, dist2 FROM pairs")
 def feature_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.neighbours(corners(spark, sf_dir), _reach(spark, sf_dir))
+    return O.neighbours(_settled(spark, sf_dir), _reach(spark, sf_dir))
 
 
 @query("dbscan_core_points", _CORE + " SELECT frame, x, y, n FROM core")
 def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.core_points(corners(spark, sf_dir), _reach(spark, sf_dir))
+    return O.core_points(_settled(spark, sf_dir), _reach(spark, sf_dir))
 
 
 @query(
@@ -155,7 +161,7 @@ def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cluster_bboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes around clusters of core points, those under a quarter of the plane."""
-    labelled = O.clusters(corners(spark, sf_dir), _reach(spark, sf_dir))
+    labelled = O.clusters(_settled(spark, sf_dir), _reach(spark, sf_dir))
     boxes = labelled.groupBy("frame", "cluster").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
     w, h = T.plane(pixel_events(spark, sf_dir))
     return boxes.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < w * h / 4.0)
