@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,18 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_gap = re.compile(SPACE_CLASS)
+
+
+def pieces(text: str, size: int = 1 << 22) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end behind white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        gap = _gap.search(text, end) if end < len(text) else None
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,14 +21,17 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 16
@@ -75,11 +78,11 @@ _words = _Words()
 
 def shingle_hashes(text: str) -> np.ndarray:
     """Hash of each run of SHINGLE words."""
-    words = WORD.findall(text)
-    if len(words) < SHINGLE:
+    own = [np.fromiter(map(_words.__getitem__, WORD.findall(part)), np.uint64) for part in pieces(text)]
+    own = own[0] if len(own) == 1 else np.concatenate([*own, np.zeros(0, np.uint64)])
+    if len(own) < SHINGLE:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+    h = np.zeros(len(own) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(h)]
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -163,6 +166,13 @@ class Index:
                 group, size = [], 0
         return out
 
+    @staticmethod
+    def _places(text: str, first: int, last: int) -> tuple[int, int]:
+        """Characters where word ``first`` begins and word ``last - 1`` ends."""
+        found = islice(WORD.finditer(text), first, last)
+        begin = next(found)
+        return begin.start(), deque(found, maxlen=1).pop().end() if last > first + 1 else begin.end()
+
     def _scan_group(self, group: list[tuple[int, np.ndarray]], texts: list[str], out: list[list]) -> None:
         begins, at = [], 0
         for _, h in group:
@@ -184,14 +194,13 @@ class Index:
                     verified[d, t][start] = share
         for (d, t), starts in sorted(verified.items()):
             k, h = group[d]
-            spans = [m.span() for m in WORD.finditer(texts[k])]
             run: list[int] = []
             for start in [*sorted(starts), None]:
                 if run and (start is None or start >= run[-1] + self.windows[t]):
                     best = max(run, key=lambda s: (starts[s], -s))
                     hit = best + np.flatnonzero(np.isin(h[best : best + self.windows[t]], self.shingles[t]))
                     first, last = int(hit[0]), int(hit[-1]) + SHINGLE
-                    out[k].append((self.names[t], first, last - first, starts[best], spans[first][0], spans[last - 1][1]))
+                    out[k].append((self.names[t], first, last - first, starts[best], *self._places(texts[k], first, last)))
                     run = []
                 if start is not None:
                     run.append(start)

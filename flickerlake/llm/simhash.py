@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, UPPER, materialize
+from .common import LOWER, SPACE_CLASS, UPPER, materialize, pieces
 
 SHINGLE = 3
 BUDGET = 2
@@ -38,23 +38,35 @@ CHUNK = 1 << 16
 FRONTIER = 1 << 18
 SALTS = 8
 _TO_LOWER = str.maketrans(UPPER, LOWER)
+_space = re.compile(SPACE_CLASS)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is set if it is in over half of the shingles' hashes."""
+    """Bit i is set if it is in over half of the shingles' hashes; a text is worked in parts."""
+    total, counts, carried = 0, np.zeros(64, np.int64), []
+    for part in pieces(text or ""):
+        words = carried + [w for w in _space.split(part.translate(_TO_LOWER)) if w]
+        if len(words) >= shingle:
+            total += _count(words, shingle, counts)
+            carried = words[len(words) - shingle + 1 :]
+        else:
+            carried = words
+    if not total and carried:
+        total = _count(carried, len(carried), counts)
+    return int(sum(1 << i for i in range(64) if 2 * int(counts[i]) > total)) if total else 0
+
+
+def _count(words: list[str], width: int, counts: np.ndarray) -> int:
+    """Adds the bits of all shingles' hashes to ``counts``; their number."""
     import xxhash
 
-    words = [w for w in re.split(SPACE_CLASS, (text or "").translate(_TO_LOWER)) if w]
-    if not words:
-        return 0
-    hashed, width = xxhash.xxh64_intdigest, min(shingle, len(words))
-    total, counts = len(words) - width + 1, np.zeros(64, np.int64)
+    hashed, total = xxhash.xxh64_intdigest, len(words) - width + 1
     for at in range(0, total, CHUNK):
         part = words[at : at + CHUNK + width - 1]
         hashes = np.fromiter((hashed(s, SEED) for s in map(" ".join, zip(*(part[k:] for k in range(width))))), np.uint64)
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in range(64) if 2 * int(counts[i]) > total))
+    return total
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -111,3 +111,15 @@ def test_repeated_rows_and_empty(spark, make_docs):
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {3}
     assert simhash.near_duplicates(docs.where("false")).collect() == []
     assert simhash.keep_representatives(docs.where("false")).collect() == []
+
+
+def test_texts_are_worked_in_parts_exactly(monkeypatch):
+    from flickerlake.llm import common
+
+    rng = random.Random(22)
+    texts = [prose(rng, words=n) for n in (1, 2, 3, 4, 50)] + ["", " ", "a  b\tc\nd", "x" * 30]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 5, 17):
+        monkeypatch.setattr(simhash, "pieces", lambda t, size=size: common.pieces(t, size))
+        assert [simhash.fingerprint(t) for t in texts] == whole
+        assert all("".join(common.pieces(t, size)) == t for t in texts)
