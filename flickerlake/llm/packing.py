@@ -45,6 +45,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def is_stable(text: str) -> bool:
+    """Whether all characters lie below STABLE_BELOW; most texts are settled by their narrow encodings."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < STABLE_BELOW
+    return True
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Text -> ids of the tokenizer file at ``path``, once for each worker.
 
@@ -75,7 +86,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         quick = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if text and (len(text) > 1_000_000 or max(text) >= STABLE_BELOW):
+            if len(text) > 1_000_000 or not is_stable(text):
                 return by_file(text)
             return quick.encode_ordinary(text)
 
