@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import STABLE_BELOW, tokenizer_path
+from .packing import is_stable, tokenizer_path
 
 WORD_BITS = 8
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: The public pattern over characters below STABLE_BELOW, with their classes spelled out.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -104,15 +104,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class _Words(dict):
-    """Ids by pre-token; emptied when full, so memory is bounded."""
+    """Ids by pre-token in two generations of CACHE_WORDS: what is used again survives the change."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = merge(word.encode(), self.ranks)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = merge(word.encode(), self.ranks)
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -135,7 +138,7 @@ class Codec:
         self.split_stable = re.compile(STABLE_PATTERN).findall
 
     def encode(self, text: str) -> list[int]:
-        split = self.split_stable if not text or max(text) < STABLE_BELOW else self.split_any
+        split = self.split_stable if is_stable(text) else self.split_any
         return [*chain.from_iterable(map(self.words.__getitem__, split(text)))]
 
     def decode(self, ids: list[int]) -> bytes:
