@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
 from .packing import is_stable, tokenizer_path
 
 WORD_BITS = 8
@@ -206,4 +207,4 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

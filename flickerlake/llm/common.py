@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """A table of under ``least`` bytes a core dealt anew to all cores, as it may lie in a single row group.
+
+    Larger tables are read in splits as they lie; rows are the same either way.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * least else docs
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; the quick path is for texts in which ``lower`` can do nothing else."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, materialize
+from .common import held_out, learnable, materialize, spread
 from .ftrl import Ftrl, softmax, temperature
 
 DIMS = 1 << 15
@@ -141,7 +141,7 @@ def fit(
     l2: float = 1e-3,
 ) -> Model:
     """Learn from the learnable rows of docs(doc_id, text, lang)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(counts)
     if not languages:
@@ -186,7 +186,7 @@ def _predictor(model: Model, names: list[str]) -> Callable:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of docs(doc_id, text); nothing but the text decides."""
-    source = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
+    source = spread(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
     return source.mapInArrow(_predictor(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, spread
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -219,7 +219,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "template", "start_word", "n_words", "containment", "match_start", "match_end"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(task, SCHEMA)
 
 

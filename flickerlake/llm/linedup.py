@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower
+from .common import SPACE_CHARS, ascii_lower, spread
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
@@ -115,6 +115,7 @@ def _kept(text: Column, runs: Column) -> Column:
 
 def keep_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none", into: str = "text") -> DataFrame:
     """``docs`` with the kept text in column ``into`` and counts in n_lines and n_dropped."""
+    docs = spread(docs)
     bitmaps = keep_bitmaps(docs, min_docs, keep)
     d, th = _document(docs)
     rows = docs.select(d, th, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

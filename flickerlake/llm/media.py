@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import scratch_path
+from .common import scratch_path, spread
 
 BLOCK = 64
 SAMPLE_RATE = 16_000
@@ -228,7 +228,7 @@ class MediaArchive(DataSource):
 def store_texts(docs: DataFrame, path: str, **options: str) -> None:
     """Write docs(doc_id, text) as members keyed by doc_id."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    rows = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").cast("binary").alias("content"))
+    rows = spread(docs).select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").cast("binary").alias("content"))
     rows.write.format("media_archive").mode("append").options(path=path, **options).save()
 
 

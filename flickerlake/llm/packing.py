@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -208,7 +208,7 @@ def pack(
     ``ids`` is null unless ``with_ids``; ``ids_crc32`` is over little-endian unsigned 32-bit ids.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     made = materialize(source.mapInArrow(_pack_documents(path, window, open_windows, with_ids), SCHEMA), "pack")
     parts, level = [made.where(~F.col("leftover"))], 0
     while True:

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower
+from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower, spread
 
 MAX_DOCS = 20
 MIN_LEFT = 0.3
@@ -105,6 +105,7 @@ def depleted(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, mi
 
 def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row."""
+    docs = spread(docs)
     counts = base_counts(docs, host)
     poor = depleted(docs, host, max_docs, min_left).select(F.col("d").alias("pd"), F.col("th").alias("pth"), F.col("host").alias("phost"))
     on = F.col("d").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pth")) & F.col("host").eqNullSafe(F.col("phost"))

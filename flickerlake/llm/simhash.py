@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, UPPER, materialize, pieces
+from .common import LOWER, SPACE_CLASS, UPPER, materialize, pieces, spread
 
 SHINGLE = 3
 BUDGET = 2
@@ -83,7 +83,7 @@ def _with_hash(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("th")], ["doc_id", "fp", "th"])
 
     text = F.col("text").cast("string")
-    source = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    source = spread(docs).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     return source.mapInArrow(task, "doc_id long, fp long, th long")
 
 
