@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(docs: DataFrame, least: int = 8 << 20) -> DataFrame:
+def spread(docs: DataFrame, least: int = 2 << 20) -> DataFrame:
     """A table of under ``least`` bytes a core dealt anew to all cores, as it may lie in a single row group.
 
     Larger tables are read in splits as they lie; rows are the same either way.
