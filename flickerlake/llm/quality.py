@@ -31,7 +31,7 @@ DIMS = 1 << 18
 MAX_ROWS = 6000
 THRESHOLD = 0.3
 CHUNK = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
 
