@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickerlake.llm import langid, linedup, packing, quality, simhash
+from flickerlake.llm import langid, linedup, neardup, packing, quality
 from flickerlake.llm.common import materialize, table
 
 
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    return simhash.keep_representatives(docs)
+    """One document of each group linked by a similarity of 0.8 in 5-word shingles stays, that with the smallest doc_id."""
+    return neardup.keep_representatives(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

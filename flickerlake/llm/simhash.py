@@ -269,13 +269,17 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 def keep_representatives(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each component: the smallest doc_id (null last), then the smallest text hash."""
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = materialize(_with_hash(docs, shingle), "fingerprints")
-    rooted = marked.join(_grouped(marked, budget), "fp")
+    return representatives(docs, marked.join(_grouped(marked, budget), "fp"))
+
+
+def representatives(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of each root in rooted(doc_id, th, root), a row for each of ``docs``, the first row by doc_id and text hash."""
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     chosen = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("rep_id"), F.col("p.th").alias("rep_th"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th"))
-    if not marked.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+    if not rooted.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["id", "th"])
     on = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
     return rows.join(chosen.hint("shuffle_hash"), on, "left_semi").select("row.*")
