@@ -43,7 +43,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents"))
+    return rules.apply_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Within a document, arrays stay arrays: nothing is exploded and nothing is shuffl
 a line (white space stripped, A-Z lower-cased) is hashed and its distinct texts are counted for each
 host, aggregated before every shuffle: first to one row for each host, line and text, which spreads a
 line that all documents share, then to one for each host and line. Lines in ``max_docs`` or more
-texts of a host are removed, and a document that keeps less than ``min_left`` of the characters of
-its lines is depleted and rejected. Identical texts count as one, so exact copies don't deplete each
+texts of a host are removed: a mask of run lengths for each document that loses lines, as in
+``linedup``, is applied to its text. A document that keeps less than ``min_left`` of the characters
+of its lines is depleted and rejected. Identical texts count as one, so exact copies don't deplete each
 other; taking those out is the dedup operators' work.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower, spread
+from .linedup import _kept, _runs
 
 MAX_DOCS = 20
 MIN_LEFT = 0.3
@@ -62,17 +64,15 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) > window, _let(words, lambda w: _let(hashed(w), counted))).otherwise(F.lit(0).cast("long"))
 
 
-def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(d, th, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) for each row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    trimmed = F.trim(text, F.lit(SPACE_CHARS))
+def base_counts(rows: DataFrame) -> DataFrame:
+    """Every row of rows(doc_id, text, clean), with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of its text."""
+    trimmed = F.trim("text", F.lit(SPACE_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("th"), F.col(host).cast("string").alias("host"), text.alias("text"), words.alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
-    return rows.select(
-        "d",
-        "th",
-        "host",
+    return rows.select("doc_id", "text", "clean", words.alias("words")).select(
+        "doc_id",
+        "text",
+        "clean",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -81,34 +81,56 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(d, th, host, h1, h2, chars): every line that isn't blank, hashed."""
+def _row(docs: DataFrame, host: str) -> tuple[Column, Column, Column]:
+    """A row's doc_id, the hash of its host and text, and its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("th"), F.col(host).cast("string").alias("host"), F.explode(F.split(ascii_lower(text), "\n")).alias("line"))
-    keyed = lines.select("d", "th", "host", F.trim(F.col("line"), F.lit(SPACE_CHARS)).alias("key")).where("key != ''")
-    return keyed.select("d", "th", "host", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), F.length("key").cast("long").alias("chars"))
+    of = F.col(host).cast("string")
+    return F.col("doc_id").cast("long").alias("d"), F.xxhash64(of.isNull(), of, text).alias("th"), text.alias("text")
+
+
+def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(d, th, pos, h1, h2): every line that isn't blank, hashed with its host."""
+    d, th, text = _row(docs, host)
+    of = F.col(host).cast("string").alias("host")
+    lines = docs.select(d, th, of, F.posexplode(F.split(ascii_lower(text), "\n")).alias("pos", "line"))
+    keyed = lines.select("d", "th", "host", "pos", F.trim(F.col("line"), F.lit(SPACE_CHARS)).alias("key")).where("key != ''")
+    of = F.col("host").isNull(), F.col("host"), F.col("key")
+    return keyed.select("d", "th", "pos", F.xxhash64(*of).alias("h1"), F.xxhash64(F.lit(1), *of).alias("h2"))
 
 
-def depleted(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """(d, th, host) of documents of whose lines less than ``min_left`` is left."""
+def line_masks(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """(d, th, keep_runs) of documents that lose lines."""
     lines = host_lines(docs, host)
-    texts = lines.groupBy("host", "h1", "h2", "th").agg(F.lit(1).alias("one"))
-    frequent = texts.groupBy("host", "h1", "h2").count().where(F.col("count") >= max_docs).select(F.col("host").alias("fhost"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
+    frequent = lines.select("h1", "h2", "th").distinct().groupBy("h1", "h2").count().where(F.col("count") >= max_docs)
     # a line's documents are dealt by SALTS parts, so one that all share isn't read by one task
-    lines = lines.withColumn("part", F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int"))
-    frequent = frequent.withColumn("fpart", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("part") == F.col("fpart")) & F.col("host").eqNullSafe(F.col("fhost"))
-    left = F.sum(F.when(F.col("f1").isNull(), F.col("chars")).otherwise(0))
-    sums = lines.join(frequent, on, "left").groupBy("d", "th", "host").agg(left.alias("left"), F.sum("chars").alias("all"))
-    return sums.where(F.col("left") < F.lit(min_left) * F.col("all")).select("d", "th", "host")
+    frequent = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int")
+    hit = lines.join(frequent, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (part == F.col("part")))
+    dropped = hit.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return dropped.select("d", "th", _runs(F.col("dropped")).alias("keep_runs"))
+
+
+def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """(doc_id, text, clean) for each row, clean being the text without its host's frequent lines."""
+    masks = line_masks(docs, host, max_docs).select(F.col("d").alias("md"), F.col("th").alias("mth"), "keep_runs").hint("shuffle_hash")
+    on = F.col("d").eqNullSafe(F.col("md")) & (F.col("th") == F.col("mth"))
+    clean = F.when(F.col("keep_runs").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("keep_runs")))
+    return docs.select(*_row(docs, host)).join(masks, on, "left").select(F.col("d").alias("doc_id"), "text", clean.alias("clean"))
+
+
+def _line_chars(text: str) -> Column:
+    """Characters of all lines without white space at their ends."""
+    return F.length(F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS))), ""))
 
 
 def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row."""
-    docs = spread(docs)
-    counts = base_counts(docs, host)
-    poor = depleted(docs, host, max_docs, min_left).select(F.col("d").alias("pd"), F.col("th").alias("pth"), F.col("host").alias("phost"))
-    on = F.col("d").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pth")) & F.col("host").eqNullSafe(F.col("phost"))
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, text) for each row.
+
+    The counts are of the text as given; the text returned has lost its host's frequent lines, and
+    ``kept`` is decided by what it has left.
+    """
+    counts = base_counts(remove_lines(spread(docs), host, max_docs))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = counts.join(poor, on, "left").withColumn("base_failed", failed)
-    return rows.select(F.col("d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("pth").isNull()).alias("kept"))
+    # an untouched text, as most are, keeps all
+    poor = (F.length("clean") < F.length("text")) & (_line_chars("clean") < F.lit(min_left) * _line_chars("text"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~poor).alias("kept"), F.col("clean").alias("text"))

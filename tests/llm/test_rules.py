@@ -77,3 +77,16 @@ def test_empty_table_and_plan(make_docs):
     assert run(docs.where("false")) == []
     plan = rules.apply_rules(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_frequent_lines_are_removed_from_the_texts(make_docs):
+    rng = random.Random(35)
+    shared = "menu home about contact"
+    texts = [f"{prose(rng, words=30)}\n {shared.upper()}\t\n\n{prose(rng, words=30)}\n{shared}" for _ in range(20)]
+    texts += [None, shared, f"{shared}\nother host", "no shared line\n\nat all"]
+    hosts = ["a"] * 22 + ["b", "a"]
+    rows = {r.doc_id: r for r in rules.apply_rules(make_docs(texts, sources=hosts)).collect()}
+    for k, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        assert rows[k].text == "\n".join(x for x in lines if hosts[k] == "b" or x.strip(SPACE_CHARS).translate(LOW) != shared)
+    assert rows[0].text != texts[0] and rows[0].kept and rows[21].text == "" and rows[22].text == texts[22]
