@@ -6,8 +6,10 @@ any n consecutive shingles lie inside one. A window that holds a share ``contain
 template's shingles has a Jaccard similarity of at least containment / (1.5 + 1 - containment) with
 it, 0.47 for 0.8; BANDS bands of one row each then collide with a chance of 0.99996 or more, for whole
 templates of 1 - 1e-7. (More rows would only spare candidates, which are rare here.) Each candidate is verified by the exact share of the template's distinct
-shingles inside the window; verified windows that overlap are reported as one match, at its first best
-window. Minima are taken once over steps and combined upwards, so windows that overlap share the work.
+shingles inside the window; verified windows that overlap are one run, reported as one match at its first
+best window, unless it holds several: then every exact span that doesn't overlap a better one is reported
+(best share first, then the shortest, then the earliest). The SQL still has one match a run, so it differs
+for notices that follow each other within a window's length. Minima are taken once over steps and combined upwards, so windows that overlap share the work.
 
 Templates are a small fixed table, the only thing sent to all tasks. A text is scanned whole, in
 chunks of bounded size that overlap by the longest window.
@@ -20,7 +22,7 @@ columns are ignored. A template shorter than one shingle is refused.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import islice
@@ -173,6 +175,44 @@ class Index:
         begin = next(found)
         return begin.start(), deque(found, maxlen=1).pop().end() if last > first + 1 else begin.end()
 
+    def _occurrences(self, hits: np.ndarray, hashes: np.ndarray, t: int) -> list[tuple[int, int, float]]:
+        """(first shingle, last shingle, share) of spans that don't overlap, ascending, if there can be several."""
+        total, window = len(self.shingles[t]), self.windows[t]
+        if len(hits) < 2 * self.containment * total:
+            return []
+        at, own = hits.tolist(), hashes.tolist()
+        taken: list[tuple[int, int, float]] = []
+        gaps = [(0, len(at))]
+        while gaps:
+            spans = []
+            for lo, hi in gaps:
+                for i in range(lo, hi):
+                    seen, last = set(), i
+                    for j in range(i, hi):
+                        if at[j] >= at[i] + window:
+                            break
+                        if own[j] not in seen:
+                            seen.add(own[j])
+                            last = j
+                    if len(seen) / total >= self.containment:
+                        spans.append((-len(seen), at[last] - at[i], i, last))
+            used = np.zeros(len(at), bool)
+            new = []
+            for count, _, i, last in sorted(spans):
+                if not used[i : last + 1].any():
+                    used[i : last + 1] = True
+                    new.append((i, last))
+                    taken.append((at[i], at[last], -count / total))
+            new.sort()
+            # what lies between them may hold spans that a better one cut short
+            rest = []
+            for lo, hi in gaps:
+                inside = new[bisect_left(new, (lo,)) : bisect_left(new, (hi,))]
+                edges = [lo, *(e for i, last in inside for e in (i, last + 1)), hi]
+                rest += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if inside and b - a >= self.containment * total]
+            gaps = rest
+        return sorted(taken)
+
     def _scan_group(self, group: list[tuple[int, np.ndarray]], texts: list[str], out: list[list]) -> None:
         begins, at = [], 0
         for _, h in group:
@@ -197,10 +237,15 @@ class Index:
             run: list[int] = []
             for start in [*sorted(starts), None]:
                 if run and (start is None or start >= run[-1] + self.windows[t]):
-                    best = max(run, key=lambda s: (starts[s], -s))
-                    hit = best + np.flatnonzero(np.isin(h[best : best + self.windows[t]], self.shingles[t]))
-                    first, last = int(hit[0]), int(hit[-1]) + SHINGLE
-                    out[k].append((self.names[t], first, last - first, starts[best], *self._places(texts[k], first, last)))
+                    hits = run[0] + np.flatnonzero(np.isin(h[run[0] : run[-1] + self.windows[t]], self.shingles[t]))
+                    several = self._occurrences(hits, h[hits], t)
+                    if len(several) < 2:
+                        best = max(run, key=lambda s: (starts[s], -s))
+                        hit = hits[(hits >= best) & (hits < best + self.windows[t])]
+                        several = [(int(hit[0]), int(hit[-1]), starts[best])]
+                    for first, last, share in several:
+                        last += SHINGLE
+                        out[k].append((self.names[t], first, last - first, share, *self._places(texts[k], first, last)))
                     run = []
                 if start is not None:
                     run.append(start)

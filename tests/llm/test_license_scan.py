@@ -78,3 +78,31 @@ def test_edges(spark, make_docs, odd_texts):
 
 def test_shingles_use_lower_case():
     assert np.array_equal(L.shingle_hashes("A b C d E f"), L.shingle_hashes("a B c D e F"))
+
+
+@pytest.mark.parametrize("name", [*L.TEMPLATES])
+def test_notices_in_a_row_are_all_found(name):
+    rng = random.Random(36)
+    notice = words_of(L.TEMPLATES[name])
+    texts, starts = [], []
+    for lead in range(9):
+        for copies in (1, 2, 5, 40):
+            for gap in (0, 1, 3):
+                words, own = prose(rng, words=lead).split()[:lead], []
+                for _ in range(copies):
+                    own.append(len(words))
+                    words += notice + ["gap"] * gap
+                texts.append(" ".join(words + ["end"] * 20))
+                starts.append(own)
+    for found, own in zip(L.Index(L.TEMPLATES).scan(texts), starts):
+        got = [(m[1], m[2], m[3]) for m in found if m[0] == name]
+        assert got == [(at, len(notice), 1.0) for at in own]
+
+
+def test_changed_notice_beside_a_whole_one():
+    notice = words_of(L.TEMPLATES["GPL-notice"])
+    changed = [*notice]
+    changed[2] = "changed"
+    for first, second, shares in ((changed, notice, (False, True)), (notice, changed, (True, False))):
+        found = [m for m in L.Index(L.TEMPLATES).scan([" ".join(["x"] + first + second)])[0] if m[0] == "GPL-notice"]
+        assert [m[3] == 1.0 for m in found] == [*shares]
