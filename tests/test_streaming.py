@@ -25,6 +25,15 @@ def test_frames_leave_when_the_watermark_passes(spark, tmp_path):
     assert got and all(r.n == 24 and r.pixels == 3 for r in got) and len(got) < 6
 
 
+def test_pixels_are_counted_exactly(spark, tmp_path):
+    rows = [(k * 5, k % 12_347, k % 3, k, 5) for k in range(17_280 * 5)]
+    got = run(S.frame_counts(stream(spark, str(tmp_path / "e"), rows)), "exact_counts", spark, tmp_path)
+    expected = {}
+    for t, x, y, _, _ in rows:
+        expected.setdefault(t // 86_400, set()).add((x, y))
+    assert got and all(r.n == 17_280 and r.pixels == len(expected[int(r.start.timestamp()) // 86_400]) for r in got)
+
+
 def test_fold_keeps_state_between_batches(spark, tmp_path):
     from flickerlake.operators import folds
 
