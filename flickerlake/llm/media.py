@@ -131,7 +131,8 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        # one manifest a job, so that a later job's leaves those before it alone
+        with store.open_output_stream(f"{root}/{MANIFEST.removesuffix('.json')}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -150,11 +151,15 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, root = _store(self.path)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                archives = [tuple(a) for a in json.loads(f.read())]
+        files = store.get_file_info(fs.FileSelector(root))
+        manifests = [i.base_name for i in files if i.base_name.startswith(MANIFEST.removesuffix(".json")) and i.base_name.endswith(".json")]
+        if manifests:
+            archives = []
+            for name in sorted(manifests):
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    archives += [tuple(a) for a in json.loads(f.read())]
         else:
-            archives = [(i.base_name, i.size) for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".zip")]
+            archives = [(i.base_name, i.size) for i in files if i.base_name.endswith(".zip")]
         return [Range(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,10 @@ def test_uncommitted_archives_are_invisible(spark, make_docs, tmp_path):
     (tmp_path / "a" / "left-by-a-lost-task.zip").write_bytes(b"half")
     assert media.load(spark, str(tmp_path / "a")).count() == 2
     assert media.round_trip(make_docs(["x"]).where("false")).collect() == []
+
+
+def test_a_second_write_keeps_the_first(spark, make_docs, tmp_path):
+    path = f"file://{tmp_path}/twice"
+    media.store_texts(make_docs(["a", "b"], ids=[1, 2]), path)
+    media.store_texts(make_docs(["c"], ids=[3]), path)
+    assert sorted(r.key for r in media.load(spark, path).collect()) == ["1", "2", "3"]
