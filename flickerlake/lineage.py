@@ -1,4 +1,8 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""Cutting lineage with tables in the folder that all executors share.
+
+An application's scratch tables lie in one folder of its own, which goes when its JVM ends; tables that
+are superseded earlier are discarded at once.
+"""
 
 from __future__ import annotations
 
@@ -20,18 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/flickerlake/{label}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/flickerlake/{spark.sparkContext.applicationId}"
+    store, target = _file_system(spark, own)
+    if not store.exists(target):
+        store.mkdirs(target)
+        store.deleteOnExit(target)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and nothing reads any more; others are left alone."""
+    for table in tables:
+        if path := table.__dict__.get("scratch"):
+            remove(table.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the file system that holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _file_system(spark, path)
+    store.delete(target, True)

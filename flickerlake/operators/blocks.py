@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.events import D_EMPTY, long
-from ..sources.streams import FIXED_HEADER, Header
+from ..sources import manifests
+from ..sources.streams import FIXED_HEADER, MAGIC, Header
 from .codec import BLOCK, D_SHIFT_MAX, SHIFT_WHOLE, T_RESIDUAL_MAX, unit
 from .entropy import Context, Decoder, Encoder
 
@@ -29,7 +30,7 @@ from .entropy import Context, Decoder, Encoder
 OFFSET = 255
 NO_EVENT, SKIP = 256, 257
 COMPRESSED_MAGIC = b"addec"
-MANIFEST = "_units.json"
+LABEL = "units"
 SCHEMA = "adu long, x long, y long, c long, d long, t long"
 Event = tuple[int, int]
 
@@ -189,8 +190,8 @@ class Unit(InputPartition):
 class UnitWriter(DataSourceArrowWriter):
     """Writes sorted (adu, payload) rows; the units of a task make one stream."""
 
-    def __init__(self, options: dict):
-        self.path, self.header = options["path"], Header(**json.loads(options["header"]))
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.header = options["path"], overwrite, Header(**json.loads(options["header"]))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -206,10 +207,8 @@ class UnitWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """The manifest holds one place for each unit, in order of time."""
-        store, root = fs.FileSystem.from_uri(self.path)
         files = sorted((m.first, m.name, m.places) for m in messages if m and m.places)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([[name, places] for _, name, places in files]).encode())
+        manifests.publish(self.path, LABEL, [[name, places] for _, name, places in files], self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -224,15 +223,13 @@ class UnitReader(DataSourceReader):
 
     def partitions(self) -> list[Unit]:
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())
         out = []
-        for name, places in files:
+        for name, places in manifests.committed(self.path, LABEL) or ():
             with store.open_input_file(f"{root}/{name}") as f:
                 head = f.read(FIXED_HEADER.size + 12)
             if head[:5] != COMPRESSED_MAGIC:
                 raise ValueError(f"{name} is not a compressed stream")
-            header = asdict(Header.parse(b"adder" + head[5:]))
+            header = asdict(Header.parse(MAGIC + head[5:]))
             out += [Unit(f"{root}/{name}", header, adu, place) for adu, place in places]
         return out
 
@@ -262,14 +259,14 @@ class CompressedEvents(DataSource):
         return UnitReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> UnitWriter:
-        return UnitWriter(self.options)
+        return UnitWriter(self.options, overwrite)
 
 
-def save(events: DataFrame, header: Header, path: str) -> None:
+def save(events: DataFrame, header: Header, path: str, mode: str = "append") -> None:
     """Compress events and write them, ranged by time so that each task's stream is in order."""
     events.sparkSession.dataSource.register(CompressedEvents)
     ordered = compress(events, header).select("adu", "payload").repartitionByRange("adu").sortWithinPartitions("adu")
-    ordered.write.format("compressed_events").mode("append").options(path=path, header=json.dumps(asdict(header))).save()
+    ordered.write.format("compressed_events").mode(mode).options(path=path, header=json.dumps(asdict(header))).save()
 
 
 def load(spark, path: str) -> DataFrame:

@@ -3,13 +3,13 @@
 A stream is a header and fixed-width big-endian records; single-channel records have 9 bytes, others
 11. Reading plans byte ranges that are whole numbers of records from the file's size alone; a range is
 decoded by one numpy view into Arrow batches. Writing gives one stream for each task, closed by an
-end record, named by the task and committed by the driver's manifest. Conversion to absolute time and
-frames is left to the operators.
+end record, named by the task and committed by the driver's manifest. A stream's end is found in its
+last record, as streams that were cut off have none. Conversion to absolute time and frames is left to
+the operators.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -21,6 +21,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.events import CAMERAS, EOF_ADDRESS
+from . import manifests
 
 # Fixed values of the format.
 MAGIC = b"adder"
@@ -33,7 +34,7 @@ MULTI = np.dtype([("x", ">u2"), ("y", ">u2"), ("some", "u1"), ("c", "u1"), ("d",
 
 RANGE_RECORDS = 1 << 20
 BATCH_RECORDS = 1 << 16
-MANIFEST = "_streams.json"
+LABEL = "streams"
 SCHEMA = "stream string, x int, y int, c int, d int, t long, seq long"
 
 
@@ -77,9 +78,18 @@ class Header:
         return cls(version, width, height, channels, tps, ref, dtm, camera, mode, extra[2] if version >= 3 else 1)
 
 
-def event_count(file_size: int, header: Header) -> int:
-    """Records before the end record."""
-    return max(0, (file_size - header.size - END_SIZE) // header.event_size)
+def event_count(file_size: int, header: Header, tail: bytes) -> int:
+    """Whole records before the end record, if ``tail``, the file's last bytes, is one."""
+    ended = tail[-END_SIZE:] == end_record() and file_size - END_SIZE >= header.size
+    return max(0, (file_size - header.size - (END_SIZE if ended else 0)) // header.event_size)
+
+
+def open_stream(store: fs.FileSystem, place: str) -> tuple[Header, int]:
+    """A raw stream's header and the number of its events."""
+    with store.open_input_file(place) as f:
+        header, size = Header.parse(f.read(FIXED_HEADER.size + 12)), f.size()
+        f.seek(max(0, size - END_SIZE))
+        return header, event_count(size, header, f.read(END_SIZE))
 
 
 def record_at(position: int, header: Header) -> int:
@@ -123,24 +133,21 @@ class StreamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.records = int(options.get("range_records", RANGE_RECORDS))
+        self.start = int(options.get("start_byte", 0))
 
     def partitions(self) -> list[Range]:
         store, root = fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(root)
-        if info.type == fs.FileType.File:
-            names, root = [""], root
-        elif store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = json.loads(f.read())
+        if store.get_file_info(root).type == fs.FileType.File:
+            places = [root]
+        elif (entries := manifests.committed(self.path, LABEL)) is not None:
+            places = sorted(f"{root}/{name}" for name, in entries)
         else:
-            names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.is_file and not i.base_name.startswith(("_", ".")))
+            places = sorted(i.path for i in store.get_file_info(fs.FileSelector(root)) if i.is_file and not i.base_name.startswith(("_", ".")))
         out = []
-        for name in names:
-            place = f"{root}/{name}" if name else root
-            with store.open_input_file(place) as f:
-                header = Header.parse(f.read(FIXED_HEADER.size + 12))
-                n = event_count(f.size(), header)
-            out += [Range(place, asdict(header), at, min(self.records, n - at)) for at in range(0, n, self.records)]
+        for place in places:
+            header, n = open_stream(store, place)
+            first = record_at(self.start, header) if self.start else 0
+            out += [Range(place, asdict(header), at, min(self.records, n - at)) for at in range(first, n, self.records)]
         return out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
@@ -160,8 +167,8 @@ class StreamReader(DataSourceReader):
 
 
 class StreamWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
         kinds = {"camera": str, "time_mode": str}
         # option names arrive in lower case
         fields = {k: kinds.get(k, int)(options[k]) for k in Header.__dataclass_fields__ if k in options}
@@ -181,9 +188,7 @@ class StreamWriter(DataSourceArrowWriter):
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps(sorted(m.stream for m in messages if m)).encode())
+        manifests.publish(self.path, LABEL, sorted([m.stream] for m in messages if m), self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -193,7 +198,10 @@ class StreamWriter(DataSourceArrowWriter):
 
 
 class PixelEvents(DataSource):
-    """Options: path; range_records to read; the fields of Header to write."""
+    """Options: path; range_records and start_byte (where a record begins) to read; the fields of Header to write.
+
+    Mode append adds streams to the folder, overwrite replaces them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -206,7 +214,7 @@ class PixelEvents(DataSource):
         return StreamReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> StreamWriter:
-        return StreamWriter(self.options)
+        return StreamWriter(self.options, overwrite)
 
 
 POLARITY = np.dtype([("t", "<u4"), ("data", "<u4")])

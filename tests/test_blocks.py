@@ -66,3 +66,18 @@ def test_stream_round_trip_is_smaller(spark, tmp_path):
     assert size < len(rows) * header.event_size
     units = B.compress(df, header)
     assert B.decompress(units, header).count() == len(rows)
+
+
+def test_units_append_and_overwrite(spark, tmp_path):
+    header = Header(version=3, width=4, height=4, ref_interval=10, adu_interval=1)
+
+    def save(t, mode):
+        df = spark.createDataFrame([(1, 1, 5, t, 0), (2, 1, 6, t, 1)], "x long, y long, d long, t long, seq long").selectExpr("*", "cast(null as int) as c")
+        B.save(df, header, str(tmp_path / "u"), mode)
+
+    save(5, "append")
+    save(15, "append")
+    assert sorted(r.t for r in B.load(spark, str(tmp_path / "u")).collect()) == [5, 5, 15, 15]
+    save(25, "overwrite")
+    assert sorted(r.t for r in B.load(spark, str(tmp_path / "u")).collect()) == [25, 25]
+    assert len([*(tmp_path / "u").glob("*.json")]) == 1

@@ -68,3 +68,47 @@ def test_log_names(spark):
     df = spark.createDataFrame([("park_run_3_05_11_2023_10_20_30.log",), ("other.txt",)], "name string")
     (r,) = log_names(df).collect()
     assert (r.video, r.crf, str(r["at"])) == ("park_run", 3, "2023-11-05 10:20:30")
+
+
+def test_append_keeps_and_overwrite_replaces(spark, tmp_path):
+    S.register(spark)
+    path = tmp_path / "twice"
+
+    def write(first, mode):
+        df = spark.createDataFrame([(k, 0, None, 1, k) for k in range(first, first + 10)], "x int, y int, c int, d int, t long")
+        df.repartition(2).write.format("pixel_events").mode(mode).options(path=str(path), width="99", height="1").save()
+
+    read = lambda: sorted(r.x for r in spark.read.format("pixel_events").load(str(path)).collect())
+    write(0, "append")
+    write(20, "append")
+    assert read() == [*range(10), *range(20, 30)]
+    write(50, "overwrite")
+    assert read() == [*range(50, 60)]
+    names = [p.name for p in path.iterdir() if not p.name.startswith(".")]
+    assert len([n for n in names if n.endswith(".events")]) == 2 and len([n for n in names if n.endswith(".json")]) == 1
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+@pytest.mark.parametrize("ended", [True, False])
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_streams_with_and_without_end_record(spark, tmp_path, channels, ended, n):
+    import numpy as np
+
+    S.register(spark)
+    k = np.arange(n)
+    body = S.encode(k, k, k * 0, k + 1, k * 10, channels)
+    (tmp_path / "s.events").write_bytes(S.Header(channels=channels, width=9, height=9).pack() + body + (S.end_record() if ended else b""))
+    rows = spark.read.format("pixel_events").load(str(tmp_path / "s.events")).orderBy("seq").collect()
+    assert [(r.x, r.d, r.t) for r in rows] == [(i, i + 1, i * 10) for i in range(n)]
+
+
+def test_reading_from_a_byte(spark, tmp_path):
+    import numpy as np
+
+    S.register(spark)
+    k, h = np.arange(10), S.Header(width=20, height=20)
+    (tmp_path / "s.events").write_bytes(h.pack() + S.encode(k, k, k, k, k, 1) + S.end_record())
+    reader = spark.read.format("pixel_events").option("start_byte", h.size + 4 * h.event_size)
+    assert sorted(r.seq for r in reader.load(str(tmp_path / "s.events")).collect()) == [4, 5, 6, 7, 8, 9]
+    with pytest.raises(Exception, match="no record begins"):
+        spark.read.format("pixel_events").option("start_byte", h.size + 1).load(str(tmp_path / "s.events")).collect()
