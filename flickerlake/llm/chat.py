@@ -4,17 +4,16 @@ A turn is ``<turn ROLE>``, its text and ``</turn>``, on lines of their own; in r
 backslash goes before each backslash, ``<`` and ``>``, so no control string survives inside and the
 output can be read back exactly. Prefix sums of the turns' token counts choose, for each window, the
 longest run of whole turns that fits ``budget`` beside what is repeated: the system turn that opens
-the conversation (or a block after a gap in the turn numbers), and the last turns before the window, ``history_turns`` and ``history_tokens`` at
-most. Only new assistant texts are under the loss mask; repeated ones are masked. A turn that alone
+the conversation, and the last turns before the window, ``history_turns`` and ``history_tokens`` at most. Only new assistant texts are under the loss mask; repeated ones are masked. A turn that alone
 exceeds the budget is kept whole in a window of its own, with over_budget set.
 
-Turns are dealt by conversation and by blocks of ``BLOCK_TURNS`` turn numbers, so a conversation of
-any length is split over tasks; the system turn and the last turns before a block are dealt to it as
-well, to be repeated. A window doesn't cross blocks.
+Turns are numbered by their rank, whatever numbers they carry, and dealt by conversation and by blocks
+of ``BLOCK_TURNS`` of them, so a conversation of any length is split over tasks; the opening system turn
+and the last turns before a block are dealt to it as well, to be repeated. A window doesn't cross blocks.
 
 Defined results: null roles and texts are empty; turns are ordered by number (nulls first), then
 role, then text, and repeated rows are turns of their own; a null conv_id is a conversation like any
-other; an empty table gives no rows; other columns are ignored.
+other; a very long turn is a window of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +25,10 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .packing import encoder, tokenizer_path
 
 BUDGET = 1024
@@ -36,7 +36,6 @@ HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
 BLOCK_TURNS = 256
 TARGET, SYSTEM = "assistant", "system"
-NO_BLOCK = -(1 << 40)
 SCHEMA = "conv_id long, block long, window long, text string, n_repeated int, n_new int, n_tokens long, over_budget boolean, loss_start array<int>, loss_end array<int>"
 _special = re.compile(r"[\\<>]")
 _escaped = re.compile(r"\\(.)", re.DOTALL)
@@ -104,23 +103,54 @@ def windows(turns: list[tuple[str, str]], count: Callable[[str], int], ready: li
         at = end
 
 
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with ``rank``, a turn's number from 0 in its conversation, and (conv_id, total).
+
+    Turns are sorted in ranges, so a conversation of any length is numbered by several tasks: each counts
+    its own stretch, and the stretches before it, of which a task begins at most one, add what is missing.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), -1
+        current: tuple = ()
+        for batch in batches:
+            ranks = []
+            for conv in batch.column("conv_id").to_pylist():
+                n = n + 1 if current == (conv,) else 0
+                current = (conv,)
+                ranks.append(n)
+            columns = [batch.column(c) for c in ("conv_id", "role", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(ranks), pa.int64()), pa.array(ranks, pa.int64())], ["conv_id", "role", "text", "part", "rank"])
+
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = materialize(ordered.mapInArrow(task, "conv_id long, role string, text string, part long, rank long"), "turns")
+    stretches = local.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # a task that begins within a conversation has one such stretch, so there are at most as many as tasks
+    shifts = stretches.select(F.col("conv_id").alias("sid"), F.col("part").alias("spart"), before.alias("shift")).where("shift > 0")
+    joined = local.join(F.broadcast(shifts), F.col("conv_id").eqNullSafe(F.col("sid")) & (F.col("part") == F.col("spart")), "left")
+    return joined.select("conv_id", "role", "text", (F.col("rank") + F.coalesce("shift", F.lit(0))).alias("rank")), stretches.groupBy("conv_id").agg(F.sum("n").alias("total"))
+
+
 def format_conversations(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """Windows of turns(conv_id, turn, role, text), in order by (block, window) within a conversation."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     empty = F.lit("")
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(NO_BLOCK)))
+    numbered, sizes = _numbered(rows)
+    block = F.floor(F.col("rank") / BLOCK_TURNS)
+    rows = numbered.withColumn("block", block)
     # kind: 2 a turn of the block, 1 one of the last before it, 0 the system turn that opens the conversation
     own = F.struct("block", F.lit(2).alias("kind"))
-    later = F.when(F.pmod("turn", F.lit(BLOCK_TURNS)) >= BLOCK_TURNS - history_turns, F.struct((F.col("block") + 1).alias("block"), F.lit(1).alias("kind")))
-    dealt = rows.select("conv_id", "turn", "role", "text", F.explode(F.array_compact(F.array(own, later))).alias("to")).select("conv_id", "turn", "role", "text", "to.block", "to.kind")
-    long = rows.groupBy("conv_id").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("hi > lo").withColumnRenamed("conv_id", "lid")
-    of_long = F.col("conv_id").eqNullSafe(F.col("lid"))
-    openings = rows.join(long, of_long & (F.col("block") == F.col("lo"))).groupBy("lid").agg(F.min(F.struct("turn", "role", "text")).alias("o")).where(F.col("o.role") == SYSTEM)
-    blocks = rows.join(long.withColumnRenamed("lid", "bid"), F.col("conv_id").eqNullSafe(F.col("bid")) & (F.col("block") > F.col("lo"))).select("conv_id", "block").distinct()
-    opened = blocks.join(openings, of_long).select("conv_id", "o.turn", "o.role", "o.text", "block", F.lit(0).alias("kind"))
-    order = ["conv_id", "block", "kind", "turn", "role", "text"]
-    sorted_rows = dealt.unionByName(opened).repartition("conv_id", "block").sortWithinPartitions(*order)
+    later = F.when(F.col("rank") % BLOCK_TURNS >= BLOCK_TURNS - history_turns, F.struct((F.col("block") + 1).alias("block"), F.lit(1).alias("kind")))
+    dealt = rows.select("conv_id", "rank", "role", "text", F.explode(F.array_compact(F.array(own, later))).alias("to")).select("conv_id", "rank", "role", "text", "to.block", "to.kind")
+    long = sizes.where(F.col("total") > BLOCK_TURNS).select(F.col("conv_id").alias("lid"), F.floor((F.col("total") - 1) / BLOCK_TURNS).alias("hi"))
+    openings = rows.where((F.col("rank") == 0) & (F.col("role") == SYSTEM)).join(long, F.col("conv_id").eqNullSafe(F.col("lid")))
+    opened = openings.select("conv_id", "rank", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "hi")).alias("block"), F.lit(0).alias("kind"))
+    sorted_rows = dealt.unionByName(opened).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "rank")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import materialize, remove, scratch_path, shared_dir  # noqa: F401
+from ..lineage import discard, materialize, scratch_path  # noqa: F401
 
 #: The white space that separates words, as a regular-expression class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -16,6 +16,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _gap = re.compile(SPACE_CLASS)
+#: A key of more than a HOT_KEYS-th of all rows is hot, so there are fewer than HOT_KEYS of them at any size.
+HOT_KEYS = 1 << 14
+LEAST_HOT = 1 << 16
 
 
 def pieces(text: str, size: int = 1 << 22) -> Iterator[str]:
@@ -33,14 +36,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(docs: DataFrame, least: int = 2 << 20) -> DataFrame:
-    """A table of under ``least`` bytes a core dealt anew to all cores, as it may lie in a single row group.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt anew where their files are planned as fewer tasks than there are cores.
 
-    Larger tables are read in splits as they lie; rows are the same either way.
+    Only tables that would leave cores idle are moved; operators take tables as they lie.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(cores) if size < cores * least else docs
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, count: str = "n", least: int = LEAST_HOT) -> DataFrame:
+    """rows joined with keyed(on, count, ...), one row a key, ``count`` being the key's rows and ``total`` all there are.
+
+    Rows of hot keys stay where they are: hot keys are broadcast, and their counts, which add up to
+    ``total`` at most, hold them below HOT_KEYS. All other keys are shuffled. Both read their inputs
+    anew, which should be tables.
+    """
+    limit = max(least, total // HOT_KEYS)
+    hot = keyed.where(F.col(count) > limit)
+    here = rows.join(F.broadcast(hot), on)
+    there = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) <= limit), on)
+    return here.unionByName(there).drop(count)
+
+
+def within(rows: DataFrame, most: int, entries: str = "at") -> DataFrame:
+    """Of a bounded table, rows in order of ``rank`` while their arrays' entries add up to ``most`` at most."""
+    sizes = sorted(rows.select("rank", F.size(entries).alias("size")).collect())
+    total, last = 0, None
+    for rank, size in sizes:
+        total += size
+        if total > most:
+            break
+        last = rank
+    return rows if last is None or total <= most else rows.where(F.col("rank") <= last)
 
 
 def ascii_lower(text: Column) -> Column:

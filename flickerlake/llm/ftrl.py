@@ -18,8 +18,8 @@ class Ftrl:
     def __init__(self, dims: int, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         # the last coordinate is the intercept, which no penalty touches
-        self.z = np.zeros((dims + 1, classes))
-        self.n = np.zeros((dims + 1, classes))
+        self.z = np.zeros((dims + 1, classes), np.float32)
+        self.n = np.zeros((dims + 1, classes), np.float32)
 
     def _weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, rate = self.z[at], (self.beta + np.sqrt(self.n[at])) / self.alpha

@@ -8,11 +8,16 @@ documents and its first occurrence. What comes back is a run-length-coded keep b
 document with losses: lengths of alternating runs of kept and dropped lines, starting with kept.
 ``keep_lines`` applies the bitmaps to the texts.
 
+Hashed lines are written once and read for the counts and for the losses. A key with a large share of
+all lines is joined where its lines lie (``keyed_join``).
+
 A document is a distinct pair of doc_id and text: repeated rows count once and share a bitmap.
 
 Defined results: a null or empty text is one empty line; empty keys are never dropped; a null doc_id
-is a value like any other; in ``keep='first'`` ties on doc_id go to the smaller text hash; an empty
-table gives no rows; other columns are untouched, and helper columns can't clash with them.
+is a value like any other; in ``keep='first'`` ties on doc_id go to the smaller text hash; a very long
+text is one row, whose lines are hashed one by one; an empty table gives no rows. Columns named n_lines
+or n_dropped, in any case, give way to the counts; others are untouched, and helper columns can't clash
+with them.
 """
 
 from __future__ import annotations
@@ -20,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, spread
+from .common import SPACE_CHARS, ascii_lower, keyed_join, materialize
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
-SALTS = 16
 
 
 def _text(text: str = "text") -> Column:
@@ -52,18 +56,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none")
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
-    ordered = line_keys(docs).repartitionByRange("h1", "h2", "d", "th")
+    keys = materialize(line_keys(docs), "line-keys")
+    ordered = keys.repartitionByRange("h1", "h2", "d", "th")
     in_document = Window.partitionBy("h1", "h2", "d", "th").orderBy("pos")
     streamed = ordered.withColumn("nth", F.row_number().over(in_document))
     place = F.struct("d", "th", "pos")
-    counted = streamed.groupBy("h1", "h2").agg(F.sum((F.col("nth") == 1).cast("long")).alias("n"), F.min(place).alias("first"), F.count("*").alias("lines"))
-    enough = F.col("n") >= min_docs
-    frequent = counted.where(enough if keep == "none" else enough & (F.col("lines") > 1)).select("h1", "h2", "first")
-    # a key's lines are dealt by SALTS parts of their documents; of frequent keys, which are few, there
-    # are as many copies. The part is an expression of the join, so both readers share one range shuffle.
-    part = F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int")
-    spread = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    hit = streamed.join(spread, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (part == F.col("part")))
+    counted = streamed.groupBy("h1", "h2").agg(F.sum((F.col("nth") == 1).cast("long")).alias("docs"), F.min(place).alias("first"), F.count("*").alias("n"))
+    enough = F.col("docs") >= min_docs
+    frequent = materialize(counted.where(enough if keep == "none" else enough & (F.col("n") > 1)).select("h1", "h2", "first", "n"), "frequent-lines")
+    hit = keyed_join(keys, frequent, ["h1", "h2"], keys.count())
     if keep == "first":
         hit = hit.where(place != F.col("first"))
     dropped = hit.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
@@ -115,10 +116,10 @@ def _kept(text: Column, runs: Column) -> Column:
 
 def keep_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none", into: str = "text") -> DataFrame:
     """``docs`` with the kept text in column ``into`` and counts in n_lines and n_dropped."""
-    docs = spread(docs)
     bitmaps = keep_bitmaps(docs, min_docs, keep)
     d, th = _document(docs)
     rows = docs.select(d, th, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # a document has one bitmap, so the side that is built has no hot key and is a small part of the texts streamed by it
     bitmaps = bitmaps.select(F.col("d").alias("bd"), F.col("th").alias("bth"), "keep_runs").hint("shuffle_hash")
     joined = rows.join(bitmaps, F.col("d").eqNullSafe(F.col("bd")) & (F.col("th") == F.col("bth")), "left")
     text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
@@ -127,5 +128,5 @@ def keep_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: str = "none", in
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
     # the row's own columns come back in a step of their own, as their names may be those used here
     done = joined.select("row", kept.alias("kept_text"), n_lines.cast("long").alias("lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("gone"))
-    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in (into, "n_lines", "n_dropped")]
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in (into.lower(), "n_lines", "n_dropped")]
     return done.select(*others, F.col("kept_text").alias(into), F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"))

@@ -2,7 +2,8 @@
 
 Writing: each task appends members to ZIP archives of about ``archive_bytes``, under names of its own,
 so a repeated or speculative task never touches another's files; the driver's commit lists the
-archives of the winning tasks in a manifest, and only those exist for a reader. Reading: the driver
+archives of the winning tasks in a manifest, and only those exist for a reader. Mode append adds a
+manifest, overwrite replaces all. Reading: the driver
 plans byte ranges over the archives' sizes alone. A task reads the index at its archive's end, takes
 the members whose headers begin in its range, reads each by its offset, checks its CRC and sends them
 on in Arrow batches of bounded size. A member that fails is read again by itself, on a new handle;
@@ -13,14 +14,14 @@ Members are 8-bit PCM WAV files: bytes of the content, padded with zeros to a po
 pyarrow's file systems open.
 
 Defined results: a null content is the empty one, padded to 64 zeros; a null key is the empty key;
-repeated rows are members of their own; an empty table gives archives with no member or none, and no
-rows; other columns are ignored.
+repeated rows are members of their own, told apart by offset, and so are ties; a very long text is one
+member, and one batch; a member that can't be read has its error and nulls; an empty table gives
+archives with no member or none, and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import time
 import uuid
@@ -36,14 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import scratch_path, spread
+from ..sources import manifests
+from .common import scratch_path
 
 BLOCK = 64
 SAMPLE_RATE = 16_000
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
-MANIFEST = "_archives.json"
+LABEL = "archives"
 SCHEMA = "archive string, offset long, key string, media binary, error string"
 LOCAL_HEADER = struct.Struct("<4s5H3L2H")
 
@@ -95,8 +97,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.limit = int(options.get("archive_bytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -129,11 +131,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
-        store.create_dir(root, recursive=True)
-        # one manifest a job, so that a later job's leaves those before it alone
-        with store.open_output_stream(f"{root}/{MANIFEST.removesuffix('.json')}-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
+        manifests.publish(self.path, LABEL, sorted([*a] for m in messages if m for a in m.archives), self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
@@ -151,15 +149,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, root = _store(self.path)
-        files = store.get_file_info(fs.FileSelector(root))
-        manifests = [i.base_name for i in files if i.base_name.startswith(MANIFEST.removesuffix(".json")) and i.base_name.endswith(".json")]
-        if manifests:
-            archives = []
-            for name in sorted(manifests):
-                with store.open_input_stream(f"{root}/{name}") as f:
-                    archives += [tuple(a) for a in json.loads(f.read())]
-        else:
-            archives = [(i.base_name, i.size) for i in files if i.base_name.endswith(".zip")]
+        archives = manifests.committed(self.path, LABEL)
+        if archives is None:
+            archives = [(i.base_name, i.size) for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".zip")]
         return [Range(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
@@ -227,14 +219,14 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
 
-def store_texts(docs: DataFrame, path: str, **options: str) -> None:
+def store_texts(docs: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     """Write docs(doc_id, text) as members keyed by doc_id."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    rows = spread(docs).select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").cast("binary").alias("content"))
-    rows.write.format("media_archive").mode("append").options(path=path, **options).save()
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").cast("binary").alias("content"))
+    rows.write.format("media_archive").mode(mode).options(path=path, **options).save()
 
 
 def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -243,20 +235,23 @@ def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Sizes, hashes and features of members, from the stored bytes."""
+    """Sizes, hashes and features of members, from the stored bytes; a member's error instead, if it has one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, item in zip(batch.column("key").to_pylist(), batch.column("media")):
+            for key, item, error in zip(batch.column("key").to_pylist(), batch.column("media"), batch.column("error").to_pylist()):
                 stored = item.as_py()
+                if stored is None:
+                    rows.append((int(key) if key else None, *[None] * 7, error or "no media"))
+                    continue
                 payload, length = from_wav(stored)
-                rows.append((int(key) if key else None, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [[]] * 8, kinds)], names)
+                rows.append((int(key) if key else None, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload), None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [[]] * 9, kinds)], names)
 
-    return media.select("key", "media").mapInArrow(task, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("key", "media", "error").mapInArrow(task, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ windows are full. At the end of a task the open windows are poured together, whi
 one window. Those leftovers, under ``window`` tokens a task, are merged in rounds of ``fan_in``
 tasks; the last one is cut into powers of two, which need no padding.
 
-Defined results: a null text counts as empty and yields the end token alone; a null doc_id is carried
-along; repeated rows are packed once each; an empty table gives no rows; other columns are ignored.
-A text of any length is encoded whole.
+Defined results: a null or empty text yields the end token alone; a null doc_id is carried along;
+repeated rows are packed once each; of windows that fit a piece equally well the one opened first is
+taken; an empty table gives no rows; other columns are ignored. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import materialize
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -36,6 +37,10 @@ ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_c
 #: Below this code point every character's class has been fixed for decades, so all libraries split alike.
 STABLE_BELOW = "ɐ"
 
+#: White space so long that the quick library's backtracking may run out of stack.
+WIDE_GAP = 10_000
+
+_gaps = re.compile(r"\s{64,}")
 _encoders: dict[str, Callable[[str], list[int]]] = {}
 
 
@@ -56,11 +61,17 @@ def is_stable(text: str) -> bool:
     return True
 
 
+def has_wide_gap(text: str) -> bool:
+    """Whether WIDE_GAP characters of white space or more follow each other."""
+    return len(text) >= WIDE_GAP and any(m.end() - m.start() >= WIDE_GAP for m in _gaps.finditer(text))
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Text -> ids of the tokenizer file at ``path``, once for each worker.
 
     Where a rank file of the same vocabulary lies beside it, texts of stable characters take that
-    quicker library; the ids are equal (``tests/llm/test_packing.py``). Others take the file itself.
+    quicker library; the ids are equal (``tests/llm/test_packing.py``). Others, and texts with a
+    WIDE_GAP, take the file itself.
     """
     if path in _encoders:
         return _encoders[path]
@@ -86,7 +97,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         quick = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if len(text) > 1_000_000 or not is_stable(text):
+            if not is_stable(text) or has_wide_gap(text):
                 return by_file(text)
             return quick.encode_ordinary(text)
 
@@ -208,7 +219,7 @@ def pack(
     ``ids`` is null unless ``with_ids``; ``ids_crc32`` is over little-endian unsigned 32-bit ids.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    source = spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     made = materialize(source.mapInArrow(_pack_documents(path, window, open_windows, with_ids), SCHEMA), "pack")
     parts, level = [made.where(~F.col("leftover"))], 0
     while True:

@@ -4,12 +4,13 @@ A text is a sequence of words, numbers and runs of marks. Three streams of it ar
 tokens in one- and two-grams, and shapes (case, kind, whether the token repeats the one before) in
 one- to three-grams, since noise shows in how words are written rather than in which they are. Counts
 over the whole text are damped by a logarithm and scaled to unit length. Weights come from
-follow-the-regularised-leader updates on the driver over ``max_rows`` labelled rows at most, chosen by
-a hash of doc_id, which is its only use; the documents' own rows are read where they lie.
+follow-the-regularised-leader updates on the driver over ``max_rows`` labelled rows and ``max_entries``
+n-grams at most, chosen by a hash of doc_id, which is its only use; the documents' own rows are read where they lie.
 
-Defined results: a null or empty text is scored by the intercept alone; a null label isn't learned
-from and several labels of a document are averaged; a null doc_id is never learned from and is not
-held out; without both labels in the sample every score is the label that there is, or 0.5; an empty
+Defined results: a null or empty text is scored by the intercept alone; a very long one is counted in
+chunks of CHUNK tokens; a null label isn't learned from and several labels of a document are averaged,
+a tie counting as good; rows that repeat a doc_id are learned from each; a null doc_id is never learned
+from and is not held out; without both labels in the sample every score is the label that there is, or 0.5; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, spread
+from .common import held_out, learnable, materialize, within
 from .ftrl import Ftrl
 
 DIMS = 1 << 18
 MAX_ROWS = 6000
+MAX_ENTRIES = 16_000_000
 THRESHOLD = 0.3
 CHUNK = 1 << 18
 CACHE_WORDS = 150_000
@@ -96,21 +98,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[at] + self.bias, -50, 50))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, dims: int = DIMS, max_rows: int = MAX_ROWS, epochs: int = 4, l1: float = 5e-3, l2: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, dims: int = DIMS, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, epochs: int = 4, l1: float = 5e-3, l2: float = 1e-3) -> Model:
     """Learn from the learnable rows of labels(doc_id, quality) and the texts they name."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double")).where(learnable(F.col("doc_id")) & F.col("quality").isNotNull())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     # at most max_rows pairs of numbers, so it can be broadcast
     chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_rows)
-    texts = spread(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py(), dims) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "x"])
 
-    rows = texts.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, at array<int>, x array<float>").toArrow()
-    rows = rows.sort_by("doc_id")
+    rows = texts.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, at array<int>, x array<float>")
+    rank = F.xxhash64(F.lit("quality"), "doc_id").alias("rank")
+    rows = within(materialize(rows.select("*", rank), "quality-sample"), max_entries).drop("rank").toArrow()
+    # repeated doc_ids go by their features, so that the order of training is settled
+    order = sorted(range(len(rows)), key=lambda k: (rows.column("doc_id")[k].as_py(), rows.column("at")[k].values.to_numpy().tobytes(), rows.column("x")[k].values.to_numpy().tobytes()))
+    rows = rows.take(pa.array(order, pa.int64()))
     label = rows.column("label").to_pylist()
     if len(set(label)) < 2:
         return Model(np.zeros(dims, np.float32), 50.0 * (2 * label[0] - 1) if label else 0.0)
@@ -127,7 +133,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             scores = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    source = spread(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
+    source = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
     return source.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, license_scan, linedup, media, packing, quality, rules, simhash
-from .common import table
+from .common import documents, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    found = license_scan.scan(documents(spark, sf_dir))
     return found.select("doc_id", "template", "start_word", "n_words", "containment")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.round_trip(table(spark, sf_dir, "documents"))
+    return media.round_trip(documents(spark, sf_dir)).drop("error")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return packing.pack(documents(spark, sf_dir), with_ids=False).drop("ids")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,31 +33,31 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return linedup.keep_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.fit(docs))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents")).drop("text")
+    return rules.apply_rules(documents(spark, sf_dir)).drop("text")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    near = simhash.near_duplicates(documents(spark, sf_dir))
     return near.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+    return bpe.encode_digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,10 +77,10 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": r"""
 WITH lines AS (
-    SELECT doc_id, i AS pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+    SELECT doc_id, r, i AS pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, hash(coalesce(text, '')) AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
 ), frequent AS (
-    SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT (doc_id, r)) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
@@ -97,11 +97,11 @@ WITH docs AS (
 ), covered AS (
     SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS o(k) GROUP BY r
 ), raw AS (
-    SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs
+    SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM docs
 ), lines AS (
-    SELECT r, source, text, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM raw
+    SELECT r, doc_id, source, text, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM raw
 ), frequent AS (
-    SELECT source, key FROM lines WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT text) >= 20
+    SELECT source, key FROM lines WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT (doc_id, text)) >= 20
 ), sums AS (
     SELECT r, count(*) - count(DISTINCT line) AS dup, sum(length(l.key)) AS everything,
            coalesce(sum(length(l.key)) FILTER (WHERE f.key IS NULL), 0) AS remaining

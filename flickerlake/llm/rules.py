@@ -1,17 +1,19 @@
 """Quality rules, in DataFrame operations alone: counts within a document and line frequency across documents.
 
 Within a document, arrays stay arrays: nothing is exploded and nothing is shuffled. Across documents,
-a line (white space stripped, A-Z lower-cased) is hashed and its distinct texts are counted for each
-host, aggregated before every shuffle: first to one row for each host, line and text, which spreads a
-line that all documents share, then to one for each host and line. Lines in ``max_docs`` or more
-texts of a host are removed: a mask of run lengths for each document that loses lines, as in
-``linedup``, is applied to its text. A document that keeps less than ``min_left`` of the characters
-of its lines is depleted and rejected. Identical texts count as one, so exact copies don't deplete each
-other; taking those out is the dedup operators' work.
+a line (white space stripped, A-Z lower-cased) is hashed, written once, and its distinct documents are
+counted for each host, aggregated before every shuffle: first to one row for each host, line and
+document, which spreads a line that all documents share, then to one for each host and line. Lines in
+``max_docs`` or more documents of a host are removed: a mask of run lengths for each document that loses
+lines, as in ``linedup``, is applied to its text. A document that keeps less than ``min_left`` of the
+characters of its lines is depleted and rejected. A document is a distinct pair of doc_id and text, as
+in ``linedup``: copies under other ids are documents of their own, so a host's page that is there
+``max_docs`` times is boilerplate.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host
-like any other; a null doc_id is carried along; repeated rows get equal rows; an empty table gives no
-rows; other columns are ignored, and helper columns can't clash with them.
+like any other; a null doc_id is a value like any other; repeated rows get equal rows and count once; a
+very long text is one row, whose arrays of words and lines are held while it is worked; an empty table
+gives no rows; other columns are ignored, and helper columns can't clash with them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower, spread
+from .common import SPACE_CHARS, SPACE_CLASS, ascii_lower, keyed_join, materialize
 from .linedup import _kept, _runs
 
 MAX_DOCS = 20
@@ -29,7 +31,6 @@ MIN_LEFT = 0.3
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-SALTS = 16
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -100,12 +101,11 @@ def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def line_masks(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """(d, th, keep_runs) of documents that lose lines."""
-    lines = host_lines(docs, host)
-    frequent = lines.select("h1", "h2", "th").distinct().groupBy("h1", "h2").count().where(F.col("count") >= max_docs)
-    # a line's documents are dealt by SALTS parts, so one that all share isn't read by one task
-    frequent = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    part = F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)).cast("int")
-    hit = lines.join(frequent, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (part == F.col("part")))
+    lines = materialize(host_lines(docs, host), "host-lines")
+    once = lines.groupBy("h1", "h2", "d", "th").agg(F.count("*").alias("k"))
+    counted = once.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("k").alias("n"))
+    frequent = materialize(counted.where(F.col("docs") >= max_docs).select("h1", "h2", "n"), "frequent-host-lines")
+    hit = keyed_join(lines, frequent, ["h1", "h2"], lines.count())
     dropped = hit.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     return dropped.select("d", "th", _runs(F.col("dropped")).alias("keep_runs"))
 
@@ -129,7 +129,7 @@ def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS,
     The counts are of the text as given; the text returned has lost its host's frequent lines, and
     ``kept`` is decided by what it has left.
     """
-    counts = base_counts(remove_lines(spread(docs), host, max_docs))
+    counts = base_counts(remove_lines(docs, host, max_docs))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # an untouched text, as most are, keeps all
     poor = (F.length("clean") < F.length("text")) & (_line_chars("clean") < F.lit(min_left) * _line_chars("text"))

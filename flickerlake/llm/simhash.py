@@ -5,16 +5,18 @@ tries, one for each choice of two of the four 16-bit blocks; a trie's upper 32 l
 blocks and have an error budget of zero, its lower 32 levels have the budget of two. Two differing
 bits touch two blocks at most, so any linked pair agrees on two blocks and meets in one trie. With no
 budget above, a node at level 32 pairs with itself alone: its subtrie is joined in one task, and the
-keys of 32 bits spread the tasks. Within a subtrie pairs of nodes are traversed together, level by
-level; a step to unlike children costs a bit, and a pair is pruned when its bits exceed the budget.
-Only a spanning forest of the links found leaves the task, never all pairs.
+keys of 32 bits spread the tasks, which hold one subtrie or a CHUNK of small ones at a time. Within a
+subtrie pairs of nodes are traversed together, level by level; a step to unlike children costs a bit,
+and a pair is pruned when its bits exceed the budget. Only a spanning forest of the links found leaves
+the task, never all pairs.
 
 Components come from hash-to-minimum rounds over those forests (large star, small star), each written
 to the shared folder.
 
 Defined results: a null text has no words and the zero fingerprint, which links like any other; a
 null doc_id is carried along and never names a component unless all of it is null; repeated rows and
-ties share a component; an empty table gives no rows; other columns are ignored.
+ties share a component; a very long text is hashed in parts; an empty table gives no rows; other columns
+are ignored. For deduplication at a stated similarity of shingles see ``neardup``, which builds on this.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, UPPER, materialize, pieces, spread
+from .common import LOWER, SPACE_CLASS, UPPER, discard, keyed_join, materialize, pieces
 
 SHINGLE = 3
 BUDGET = 2
@@ -36,7 +38,6 @@ SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 CHUNK = 1 << 16
 FRONTIER = 1 << 18
-SALTS = 8
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 _space = re.compile(SPACE_CLASS)
 
@@ -71,20 +72,14 @@ def _count(words: list[str], width: int, counts: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint's bits as a signed long."""
-    return _with_hash(docs, shingle).drop("th")
-
-
-def _with_hash(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, th) with th a hash of the text, as doc_ids may repeat."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("th")], ["doc_id", "fp", "th"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    text = F.col("text").cast("string")
-    source = spread(docs).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    return source.mapInArrow(task, "doc_id long, fp long, th long")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return source.mapInArrow(task, "doc_id long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -197,27 +192,44 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     placed = distinct.select("fp", F.explode(tries).alias("t")).select("fp", "t.trie", "t.top")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, trie = [], []
+        # subtries follow one another; whole ones are joined as they end, CHUNK fingerprints or more at a time
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            fps.append(batch.column("fp").to_numpy().view(np.uint64))
-            trie.append(batch.column("trie").to_numpy())
-        if not fps:
-            return
-        fps, trie = np.concatenate(fps), np.concatenate(trie)
-        for k, blocks in enumerate(choices):
-            own = fps[trie == k]
-            keys = _rotate(own, blocks)
-            order = np.argsort(keys)
-            keys, own = keys[order], own[order]
-            forest = Forest(len(keys))
-            trie_join(keys, BLOCK_BITS * 2, budget, forest.union)
-            every = np.arange(len(keys))
-            root = forest.roots(every)
-            hooked = root != every
-            a, b = own[root[hooked]].view(np.int64), own[hooked].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return placed.repartition("trie", "top").mapInArrow(task, "a long, b long").distinct()
+            part = tuple(batch.column(c).to_numpy() for c in ("trie", "top", "fp"))
+            n = len(part[0])
+            if not n:
+                continue
+            last = int(np.flatnonzero((part[0] != part[0][-1]) | (part[1] != part[1][-1]))[-1]) + 1 if (part[0][0], part[1][0]) != (part[0][-1], part[1][-1]) else 0
+            if held and (last or (held[-1][0][-1], held[-1][1][-1]) != (part[0][0], part[1][0])) and size + last >= CHUNK:
+                yield _joined([*held, tuple(x[:last] for x in part)], choices, budget)
+                held, size, part = [], 0, tuple(x[last:] for x in part)
+            held.append(part)
+            size += len(part[0])
+        if size:
+            yield _joined(held, choices, budget)
+
+    dealt = placed.repartition("trie", "top").sortWithinPartitions("trie", "top")
+    return dealt.mapInArrow(task, "a long, b long").distinct()
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], choices: list[tuple[int, int]], budget: int) -> pa.RecordBatch:
+    """Spanning forests over whole subtries, as (a, b)."""
+    trie, _, fp = (np.concatenate(x) for x in zip(*parts))
+    fp, ends = fp.view(np.uint64), []
+    for k, blocks in enumerate(choices):
+        own = fp[trie == k]
+        keys = _rotate(own, blocks)
+        order = np.argsort(keys)
+        keys, own = keys[order], own[order]
+        forest = Forest(len(keys))
+        trie_join(keys, BLOCK_BITS * 2, budget, forest.union)
+        every = np.arange(len(keys))
+        root = forest.roots(every)
+        hooked = root != every
+        ends.append((own[root[hooked]].view(np.int64), own[hooked].view(np.int64)))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,21 +237,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: each node's greater neighbours move to its smallest neighbour; small star: each
     node's smaller neighbours do. Both are a minimum by key, pre-aggregated, and a join with it, in
-    which a node's edges are dealt by SALTS parts, as a hub may have most of them.
+    which the edges of a hub stay where they are. Each round's edges replace the last one's on disk.
     """
-
-    def joined(edges: DataFrame, key: str, other: str, least: DataFrame) -> DataFrame:
-        spread = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return edges.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(spread, [key, "part"]).drop("part")
-
     edges = materialize(edges, "edges")
     while True:
+        total = 2 * edges.count()
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = joined(both.where("b > a"), "a", "b", least).select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        up = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = joined(large, "b", "a", up).select("m", F.explode(F.array("a", "b")).alias("v")).where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = materialize(keyed_join(both.where("b > a"), least, ["a"], total).select(F.col("m").alias("a"), "b").where("a < b").distinct(), "large")
+        up = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = keyed_join(large, up, ["b"], total).select("m", F.explode(F.array("a", "b")).alias("v")).where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b"))
         after = materialize(small.distinct(), "edges")
+        discard(edges, large)
         # done when every node hangs on one root that hangs on nothing
         roots = after.select(F.col("a").alias("b")).distinct()
         busy = after.groupBy("b").count().where("count > 1").select("b").unionAll(after.join(roots, "b", "left_semi").select("b"))
@@ -249,28 +258,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _grouped(marked: DataFrame, budget: int) -> DataFrame:
-    """(fp, root) of the fingerprints in marked(doc_id, fp), root being the same for all of a component."""
-    distinct = marked.select("fp").distinct()
-    rooted = components(links(distinct, budget))
-    named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left")
-    return materialize(named.select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-
-
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(_grouped(marked, budget), "fp")
+    each = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    rooted = components(links(each.select("fp"), budget))
+    named = each.join(rooted, each["fp"] == rooted["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each component: the smallest doc_id (null last), then the smallest text hash."""
-    marked = materialize(_with_hash(docs, shingle), "fingerprints")
-    return representatives(docs, marked.join(_grouped(marked, budget), "fp"))
+    of = materialize(named.join(ids, "root").select("fp", "component_id", "n"), "components")
+    return keyed_join(marked, of, ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, rooted: DataFrame) -> DataFrame:

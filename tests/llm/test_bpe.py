@@ -55,3 +55,21 @@ def test_queries_and_edges(spark, make_docs, odd_texts, pair):
     back = bpe.decode(bpe.encode(df)).join(df.select("doc_id", "text"), "doc_id")
     assert back.where(F.col("content") != F.coalesce("text", F.lit("")).cast("binary")).count() == 0
     assert bpe.encode_digests(df.where("false")).collect() == []
+
+
+def test_query(spark, make_docs, tables, odd_texts):
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from flickerlake.llm.registry import QUERIES
+
+    with open(bpe.default_path(), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in QUERIES["op10_byte_bpe"](spark, tables(documents=make_docs(odd_texts))).collect():
+        ids = library.encode_ordinary(odd_texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((odd_texts[r.doc_id] or "").encode()).hexdigest()

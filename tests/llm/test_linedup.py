@@ -52,6 +52,23 @@ def test_repeated_rows_count_once_and_ids_may_clash(spark, make_docs):
     assert rows == [(0, "a"), (1, "a\nb"), (1, "a\nb"), (1, "a\nc")]
 
 
+@pytest.mark.parametrize("name", ["n_lines", "N_LINES", "N_Dropped"])
+def test_columns_of_the_counts_names_give_way(spark, make_docs, name):
+    docs = linedup.keep_lines(make_docs(["a\nb"], extra=name))
+    assert [c.lower() for c in docs.columns].count(name.lower()) == 1
+    assert (docs.first().n_lines, docs.first().n_dropped) == (2, 0)
+
+
+def test_hot_keys_are_joined_where_they_lie(spark, make_docs, monkeypatch):
+    from flickerlake.llm import common
+
+    monkeypatch.setattr(common.keyed_join, "__defaults__", ("n", 5))
+    texts = [f"same\nown {k}\nten {k % 4}" for k in range(40)]
+    expected = brute([*enumerate(texts)], 10)
+    for r in linedup.keep_lines(make_docs(texts)).collect():
+        assert (r.text, r.n_lines, r.n_dropped) == expected[r.doc_id, texts[r.doc_id]]
+
+
 def test_hot_line_and_empty_table(spark, make_docs):
     docs = make_docs([f"same\nown {k}" for k in range(300)])
     assert {r.text for r in linedup.keep_lines(docs).collect()} == {f"own {k}" for k in range(300)}

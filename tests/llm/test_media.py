@@ -84,6 +84,49 @@ def test_uncommitted_archives_are_invisible(spark, make_docs, tmp_path):
     assert media.round_trip(make_docs(["x"]).where("false")).collect() == []
 
 
+def test_errors_are_described(spark, make_docs, tmp_path):
+    media.store_texts(make_docs(["one", "two"]).coalesce(1), str(tmp_path / "a"))
+    name = next(f for f in os.listdir(tmp_path / "a") if f.endswith(".zip"))
+    hurt = max(r.offset for r in media.load(spark, str(tmp_path / "a")).collect())
+    with open(tmp_path / "a" / name, "r+b") as f:
+        f.seek(hurt + 60)
+        f.write(b"\xff\xff\xff")
+    rows = media.describe(media.load(spark, str(tmp_path / "a"), on_error="report", attempts="1")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.error is None) for r in rows if r.error is None) == [(0, 3, True)]
+    assert [(r.doc_id, r.n_bytes, r.feature) for r in rows if r.error] == [(1, None, None)]
+
+
+def slow_feature(payload):
+    """The feature by plain loops."""
+    x = [b - 128 for b in payload]
+    env = []
+    for k in range(16):
+        part = x[k * len(x) // 16 : (k + 1) * len(x) // 16]
+        env.append(sum(part) // len(part) + 128)
+    cross = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    return f"env={bytes(env).hex()};dev={sum(map(abs, x)) // len(x)};cross={cross}"
+
+
+def test_query_against_brute_force(spark, make_docs, tables, odd_texts):
+    from flickerlake.llm.registry import QUERIES
+
+    texts = [*odd_texts, "ÿþé" * 100, "\x00" * 64, "a" * 63, "a" * 65]
+    rows = {r.doc_id: r for r in QUERIES["op2_media"](spark, tables(documents=make_docs(texts))).collect()}
+    assert len(rows) == len(texts)
+    for k, text in enumerate(texts):
+        r, p = rows[k], pad(text)
+        assert (r.payload_bytes, r.payload_sha256, r.feature) == (len(p), hashlib.sha256(p).hexdigest(), slow_feature(p))
+
+
+def test_overwrite_leaves_no_orphan(spark, make_docs, tmp_path):
+    path = f"file://{tmp_path}/over"
+    media.store_texts(make_docs(["a", "b"], ids=[1, 2]), path)
+    media.store_texts(make_docs(["c"], ids=[3]), path)
+    media.store_texts(make_docs(["d", "e"], ids=[4, 5]).coalesce(1), path, mode="overwrite")
+    assert sorted(r.key for r in media.load(spark, path).collect()) == ["4", "5"]
+    assert sorted(f.rsplit(".", 1)[1] for f in os.listdir(tmp_path / "over") if not f.startswith(".")) == ["json", "zip"]
+
+
 def test_a_second_write_keeps_the_first(spark, make_docs, tmp_path):
     path = f"file://{tmp_path}/twice"
     media.store_texts(make_docs(["a", "b"], ids=[1, 2]), path)

@@ -136,3 +136,162 @@ def test_temperature_softens_wrong_certainty():
     logits = np.array([[9.0, 0.0]] * 10)
     assert ftrl.temperature(logits, np.array([0] * 7 + [1] * 3)) > 5
     assert ftrl.temperature(np.zeros((0, 2)), np.zeros(0, int)) == 1.0
+
+
+M = (1 << 64) - 1
+
+
+def slow_grams(text, dims):
+    """Counts of hashed 1- to 3-grams, gram by gram."""
+    codes = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    codes = [c for k, c in enumerate([32, *codes, 32]) if c != 32 or k == 0 or [32, *codes, 32][k - 1] != 32]
+    if not any(chr(c).isalpha() for c in codes):
+        return None
+    mixed, counts = [c * 0x9E3779B97F4A7C15 & M for c in codes], {}
+    for order in (1, 2, 3):
+        for end in range(order - 1 if order > 1 else 1, len(codes)):
+            g = mixed[end]
+            for back in range(1, order):
+                g = ((g ^ (g >> 29)) * 0xBF58476D1CE4E5B9 + mixed[end - back]) & M
+            bucket = (((g ^ (g >> 32)) * 0x94D049BB133111EB & M) >> 40) % dims
+            counts[bucket] = counts.get(bucket, 0) + 1
+    return counts
+
+
+def slow_ftrl(rows, labels, classes, dims, epochs, l1, l2, alpha=0.5, beta=1.0):
+    """Follow-the-regularised-leader, coordinate by coordinate."""
+    z = [[0.0] * classes for _ in range(dims + 1)]
+    n = [[0.0] * classes for _ in range(dims + 1)]
+
+    def weight(i, k):
+        if i == dims:
+            return -z[i][k] * alpha / (beta + n[i][k] ** 0.5)
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - (l1 if z[i][k] > 0 else -l1)) / ((beta + n[i][k] ** 0.5) / alpha + l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            x = {**rows[r], dims: 1.0}
+            w = {i: [weight(i, k) for k in range(classes)] for i in x}
+            logits = [sum(v * w[i][k] for i, v in x.items()) for k in range(classes)]
+            e = [np.exp(v - max(logits)) for v in logits]
+            for k in range(classes):
+                p = e[k] / sum(e) - (k == labels[r])
+                for i, v in x.items():
+                    g = v * p
+                    sigma = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / alpha
+                    z[i][k] += g - sigma * w[i][k]
+                    n[i][k] += g * g
+    return lambda x: [sum(v * weight(i, k) for i, v in {**x, dims: 1.0}.items()) for k in range(classes)]
+
+
+def unit(counts, weight=lambda i: 1.0):
+    x = {i: (1 + np.log(c)) * weight(i) for i, c in counts.items()}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    return {i: v / norm for i, v in x.items()}
+
+
+def test_language_scores_against_brute_force(make_docs):
+    rng = random.Random(51)
+    langs = [rng.choice([*SYLLABLES]) for _ in range(90)]
+    texts = [prose(rng, x, 12) for x in langs]
+    docs, dims = make_docs(texts, langs), 64
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs, dims, epochs=2)).collect()}
+    learn = [k for k in range(90) if not is_held_out(k)]
+    counts = [slow_grams(t, dims) for t in texts]
+    df = [sum(b in counts[k] for k in learn) for b in range(dims)]
+    x = [unit(c, lambda b: np.log((1 + len(learn)) / (1 + df[b])) + 1) for c in counts]
+    names = sorted(SYLLABLES)
+    import xxhash
+
+    def fold(k):
+        # two-step hash of Spark: the seed of a column is the hash of the one before
+        h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), xxhash.xxh64_intdigest(b"fold", 42))
+        return (h - (1 << 64) if h >> 63 else h) % 5
+
+    train, rest = [k for k in learn if fold(k)], [k for k in learn if not fold(k)]
+    logits = slow_ftrl([x[k] for k in train], [names.index(langs[k]) for k in train], 3, dims, 2, 2e-2, 1e-3)
+    soft = lambda v, t: np.exp((np.array(v) - max(v)) / t) / np.exp((np.array(v) - max(v)) / t).sum()
+    right, losses = (len(rest) + 1) / (len(rest) + 2), []
+    grid = np.geomspace(0.02, 20, 200)
+    for t in grid:
+        p = np.clip([soft(logits(x[k]), t)[names.index(langs[k])] for k in rest], 1e-12, 1 - 1e-12)
+        losses.append(-(right * np.log(p) + (1 - right) * np.log(1 - p)).mean())
+    t = grid[int(np.argmin(losses))]
+    for k in range(90):
+        p = soft(logits(x[k]), t)
+        assert got[k][0] == names[int(p.argmax())] and abs(got[k][1] - p.max()) < 2e-3
+
+
+def slow_quality(text, dims):
+    import xxhash
+
+    tokens = [m.group() for m in quality.TOKEN.finditer(text)]
+    word = [xxhash.xxh32_intdigest(t.lower()) for t in tokens]
+    shape = []
+    for k, t in enumerate(tokens):
+        if t[0].isalpha():
+            s = "X" if t.isupper() and len(t) > 1 else "Xx" if t[0].isupper() else "x"
+        else:
+            s = "0" if t[0].isdigit() else t[:4]
+        shape.append(xxhash.xxh32_intdigest(s, 1) + (0x5BD1E995 if k and word[k] == word[k - 1] else 0))
+    mix = lambda a, b: (a * 0x94D049BB133111EB & M) ^ b
+    two = [mix(a, b) for a, b in zip(word, word[1:])]
+    shape2 = [mix(a, b) for a, b in zip(shape, shape[1:])]
+    shape3 = [mix(a, b) for a, b in zip(shape2, shape[2:])]
+    counts = {}
+    for stream, grams in enumerate((word, two, shape, shape2, shape3)):
+        for g in grams:
+            h = (g + stream) * 0x9E3779B97F4A7C15 & M
+            bucket = (((h ^ (h >> 32)) * 0xBF58476D1CE4E5B9 & M) >> 36) % dims
+            counts[bucket] = counts.get(bucket, 0) + 1
+    return unit(counts)
+
+
+def test_quality_scores_against_brute_force(spark, make_docs):
+    rng = random.Random(52)
+    texts = [prose(rng, words=15) if k % 3 else noisy(rng)[:120] for k in range(60)]
+    docs, dims = make_docs(texts), 128
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels, dims, epochs=2)).collect()}
+    learn = [k for k in range(50) if not is_held_out(k)]
+    x = [slow_quality(t, dims) for t in texts]
+    logits = slow_ftrl([x[k] for k in learn], [int(k % 3 > 0) for k in learn], 2, dims, 2, 5e-3, 1e-3)
+    for k in range(60):
+        a, b = logits(x[k])
+        assert abs(got[k] - 1 / (1 + np.exp(a - b))) < 2e-3
+
+
+def test_more_languages_than_any_cap(spark, make_docs):
+    """520 languages, each of letters of its own, are all learned from a few rows each."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1040)]
+    texts = [(letters[2 * k] + letters[2 * k + 1]) * 5 for k in range(520)]
+    docs = make_docs([t for t in texts for _ in range(8)], [f"l{k:03}" for k in range(520) for _ in range(8)])
+    model = langid.fit(docs, dims=4096, l1=1e-4, epochs=2)
+    assert len(model.languages) == 520
+    rows = langid.predict(docs, model).join(docs, "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
+
+
+def test_sample_is_bounded_in_entries(spark):
+    from flickerlake.llm.common import within
+
+    rows = spark.createDataFrame([(k, [1] * k) for k in range(1, 11)], "rank long, at array<int>")
+    assert sorted(r.rank for r in within(rows, 10).collect()) == [1, 2, 3, 4]
+    assert within(rows, 1000).count() == 10 and within(rows.where("false"), 5).count() == 0
+
+
+def test_queries(spark, make_docs, tables):
+    from flickerlake.llm.registry import QUERIES
+
+    rng = random.Random(53)
+    langs = [rng.choice([*SYLLABLES]) for _ in range(60)]
+    docs = make_docs([prose(rng, x, 20) for x in langs] + [None, ""], [*langs, None, None])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    root = tables(documents=docs, labels=labels)
+    found = QUERIES["op6_langid"](spark, root).collect()
+    assert sorted(r.doc_id for r in found) == list(range(62)) and {r.lang_pred for r in found if r.doc_id >= 60} == {"und"}
+    scored = QUERIES["op9_quality"](spark, root).collect()
+    assert sorted(r.doc_id for r in scored) == list(range(62)) and all((r.score >= 0.3) == r.predicted for r in scored)

@@ -46,7 +46,7 @@ def test_similar_texts_beyond_two_bits_are_one_group(make_docs, odd_texts):
         texts += [base, edited(rng, base, n), edited(rng, base, 2 * n), edited(rng, base, 4 * n), base.upper()]
     ids = [*range(len(texts))]
     rng.shuffle(ids)
-    docs = make_docs(texts, ids=ids, extra="th node root part row a b linked")
+    docs = make_docs(texts, ids=ids, extra="th node root part row a b linked n key fp")
     kept = neardup.keep_representatives(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == brute(ids, texts)
     # the fingerprints of op8 within two bits leave many of these
@@ -55,6 +55,39 @@ def test_similar_texts_beyond_two_bits_are_one_group(make_docs, odd_texts):
     assert len(set(brute_components(ids, [simhash.fingerprint(t) for t in texts]))) > len(brute(ids, texts)) + 20
 
 
+@pytest.mark.parametrize("all_pairs, block, part, batch", [(2, 3, 2, 5), (4, 256, 4096, 10_000)])
+def test_groups_beyond_all_pairs_lose_no_link(spark, make_docs, monkeypatch, all_pairs, block, part, batch):
+    """Copies of a page at all similarities around the limit, in several groups: components as by brute force."""
+    for name, value in (("ALL_PAIRS", all_pairs), ("BLOCK", block), ("PART", part)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(44)
+    texts = []
+    for _ in range(3):
+        base = prose(rng, words=150)
+        texts += [edited(rng, base, rng.randint(1, 9)) for _ in range(50)]
+    ids = [*range(len(texts))]
+    rng.shuffle(ids)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        kept = sorted(r.doc_id for r in neardup.keep_representatives(make_docs(texts, ids=ids)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert kept == brute(ids, texts)
+
+
+def test_blocks_settle_what_a_key_holds(spark):
+    """Every similar pair of a key's components that touches a probe, and no other."""
+    rng = random.Random(45)
+    base = prose(rng, words=120)
+    texts = {k: edited(rng, base, rng.randint(1, 5)) for k in range(1, 41)}
+    root = {k: 1 if k <= 25 else k for k in texts}
+    apart = spark.createDataFrame([(9, k, root[k], root[k] != 1) for k in texts], "key long, node long, root long, probe boolean")
+    got = {(r.a, r.b) for r in neardup._settled(apart, spark.createDataFrame([*texts.items()], "node long, text string")).collect()}
+    sets = {k: grams(t) for k, t in texts.items()}
+    assert got == {(a, b) for a in texts for b in texts if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
 def test_large_group_of_near_copies_is_one(make_docs):
     rng = random.Random(32)
     base = prose(rng, words=300)

@@ -85,3 +85,21 @@ def test_bounded_open_windows():
         assert len(packer.open) <= 8 and sum(len(p[2]) for ps in packer.open.values() for p in ps) < 800
     packer.close(final=True)
     assert not packer.open
+
+
+def test_very_long_texts_have_the_files_ids():
+    """Both libraries beyond a million characters, and white space that only one of them can take."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    encode = packing.encoder(path)
+    for text in ("the cat sat on 12 mats, été. " * 40_000, "a" + " " * 1_100_000 + "b", "x\n" * 9_000 + "\n" * 10_000, " " * 9_999 + "word"):
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_query(spark, make_docs, tables, odd_texts):
+    from flickerlake.llm.registry import QUERIES
+
+    rows = QUERIES["op3_packing"](spark, tables(documents=make_docs(odd_texts))).collect()
+    assert check(rows, dict(enumerate(odd_texts)), packing.WINDOW) == 0

@@ -2,13 +2,13 @@
 
 import random
 
-from flickerlake.llm import langid, packing, quality, simhash
+from flickerlake.llm import langid, packing, quality
 
 from .conftest import prose
 from .test_linedup import brute as brute_lines
 from .test_models import noisy
 from .test_packing import check
-from .test_simhash import brute_components
+from .test_neardup import brute as brute_near
 
 
 def test_stages_and_run(spark, make_docs, tables, odd_texts):
@@ -44,8 +44,8 @@ def test_stages_and_run(spark, make_docs, tables, odd_texts):
     assert sorted((r.doc_id, r.text) for r in got) == sorted(rows) and given.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in got)
 
-    least = brute_components([d for d, _ in rows], [simhash.fingerprint(t) for _, t in rows])
-    rows = [(d, t) for (d, t), c in zip(rows, least) if d == c]
+    least = set(brute_near([d for d, _ in rows], [t for _, t in rows]))
+    rows = [(d, t) for d, t in rows if d in least]
     given = corpus_pipeline.distinct(spark, given, root)
     assert sorted((r.doc_id, r.text) for r in given.collect()) == sorted(rows) and given.columns == docs.columns
 

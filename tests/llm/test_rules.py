@@ -13,10 +13,10 @@ LOW = str.maketrans(UPPER, LOWER)
 def brute(rows, max_docs=rules.MAX_DOCS, min_left=rules.MIN_LEFT):
     hosts = defaultdict(set)
     key = lambda x: x.strip(SPACE_CHARS).translate(LOW)
-    for _, text, host in rows:
+    for doc_id, text, host in rows:
         for line in (text or "").split("\n"):
             if key(line):
-                hosts[host, key(line)].add(text or "")
+                hosts[host, key(line)].add((doc_id, text or ""))
     out = []
     for doc_id, text, host in rows:
         text = text or ""
@@ -57,14 +57,33 @@ def test_against_brute_force(make_docs, odd_texts):
     assert run(docs, max_docs=5, min_left=0.5) == brute([*zip(ids, texts, hosts)], 5, 0.5)
 
 
-def test_copies_do_not_deplete_each_other_and_boilerplate_does(make_docs):
+def boilerplate_pages():
+    """A host's shared pages under ids of their own, pages of mostly shared lines, clean pages, and repeated rows."""
     rng = random.Random(20)
-    clean = prose(rng, words=40)
-    shared = "menu home about contact help terms privacy and imprint of this host"
-    texts = [clean] * 50 + [f"{shared}\nword {k}" for k in range(30)]
-    rows = run(make_docs(texts))
-    assert all(r[-1] for r in rows[:50]) and not any(r[-1] for r in rows[50:])
-    assert rows == brute([(k, t, "s") for k, t in enumerate(texts)])
+    clean, shared = prose(rng, words=40), "menu home about contact help terms privacy and imprint of this host"
+    texts = [clean] * 19 + [prose(rng, words=40) + f"\n{shared}" for _ in range(15)] + [f"{shared}\nword {k}" for k in range(30)]
+    page = prose(rng, words=30)
+    return [(k, t, "s") for k, t in enumerate(texts)] + [(100 + k, page, "t") for k in range(20)] + [(200, clean, "u")] * 40
+
+
+def test_the_method_itself_rejects(spark, make_docs, tables):
+    """Through the registered query and its SQL."""
+    import duckdb
+
+    from flickerlake.llm.registry import ORACLES, QUERIES
+
+    rows = boilerplate_pages()
+    docs = make_docs([t for _, t, _ in rows], ids=[d for d, _, _ in rows], sources=[h for _, _, h in rows])
+    root = tables(documents=docs)
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) for r in QUERIES["op7_rules"](spark, root).collect())
+    assert got == brute(rows)
+    kept = {d: k for d, *_, k in got}
+    # 19 copies stay, those of a page that the host has 20 times go, repeated rows are one document
+    assert all(kept[d] for d in (*range(34), 200)) and not any(kept[d] for d in (*range(34, 64), *range(100, 120)))
+    assert not any(f for d, *_, f, _ in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{root}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({ORACLES['op7_rules']})").fetchall()) == got
 
 
 def test_repeated_words_in_one_text(make_docs):

@@ -88,7 +88,7 @@ def test_long_chain_and_hub(spark):
     assert all(got[k] == 0 for k in range(1, 201)) and all(got[k] == 1000 for k in range(1001, 1400))
 
 
-def test_near_duplicates_and_representatives(spark, make_docs, odd_texts):
+def test_near_duplicates_against_brute_force(spark, make_docs, odd_texts):
     rng = random.Random(10)
     texts = [*odd_texts]
     for _ in range(30):
@@ -100,17 +100,12 @@ def test_near_duplicates_and_representatives(spark, make_docs, odd_texts):
     expected = sorted(zip((i or -1 for i in ids), fps, (c or -1 for c in brute_components(ids, fps))))
     got = sorted((r.doc_id or -1, r.fp % (1 << 64), r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
     assert got == expected
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({c for _, _, c in expected})
 
 
 def test_repeated_rows_and_empty(spark, make_docs):
     docs = make_docs(["a b c d", "a b c d", "a b c d"], ids=[3, 3, 9])
-    assert [r.doc_id for r in simhash.keep_representatives(docs).collect()] == [3]
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {3}
     assert simhash.near_duplicates(docs.where("false")).collect() == []
-    assert simhash.keep_representatives(docs.where("false")).collect() == []
 
 
 def test_texts_are_worked_in_parts_exactly(monkeypatch):
@@ -123,3 +118,45 @@ def test_texts_are_worked_in_parts_exactly(monkeypatch):
         monkeypatch.setattr(simhash, "pieces", lambda t, size=size: common.pieces(t, size))
         assert [simhash.fingerprint(t) for t in texts] == whole
         assert all("".join(common.pieces(t, size)) == t for t in texts)
+
+
+def test_one_hot_key_of_32_bits_in_bounded_memory():
+    """Subtries are joined one after the other, a large one in bounded frontiers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(42)
+    low = np.unique(rng.integers(0, 1 << 32, 200_000, dtype=np.uint64))
+    fps = (np.uint64(0xABCD1234) << np.uint64(32) | low)
+    near = fps[:500] ^ np.uint64(1 << 7)
+    keys = np.unique(np.concatenate([fps, near]))
+    forest = simhash.Forest(len(keys))
+    tracemalloc.start()
+    simhash.trie_join(keys, 32, 2, forest.union)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    at, to = np.searchsorted(keys, fps[:500]), np.searchsorted(keys, near)
+    assert (forest.roots(at) == forest.roots(to)).all()
+
+
+def test_subtries_in_streams_of_any_chunk(spark, monkeypatch):
+    rng = random.Random(43)
+    fps = sorted({rng.getrandbits(64) for _ in range(300)} | {f ^ 3 << rng.randrange(60) for f in [rng.getrandbits(64)] * 60})
+    fps += [f ^ 1 << 9 for f in fps[:40]]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(set(fps))], "fp long")
+    whole = {(r.node, r.root) for r in simhash.components(simhash.links(df)).collect()}
+    parts = df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(r.node, r.root) for r in simhash.components(simhash.links(df)).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", parts)
+
+
+def test_query(spark, make_docs, tables, odd_texts):
+    from flickerlake.llm.registry import QUERIES
+
+    fps = [simhash.fingerprint(t) for t in odd_texts]
+    expected = sorted(zip(range(len(odd_texts)), (f"{f:016x}" for f in fps), brute_components([*range(len(fps))], fps)))
+    got = QUERIES["op8_simhash"](spark, tables(documents=make_docs(odd_texts))).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == expected
