@@ -1,5 +1,6 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -102,4 +103,5 @@ def test_query(spark, make_docs, tables, odd_texts):
     from flickerlake.llm.registry import QUERIES
 
     rows = QUERIES["op3_packing"](spark, tables(documents=make_docs(odd_texts))).collect()
+    rows = [SimpleNamespace(**r.asDict(), ids=None) for r in rows]
     assert check(rows, dict(enumerate(odd_texts)), packing.WINDOW) == 0
