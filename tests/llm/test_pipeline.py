@@ -59,3 +59,29 @@ def test_empty_documents(spark, make_docs, tables):
     docs = make_docs(["x"]).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, tables(documents=docs, labels=labels)).collect() == []
+
+
+def test_stages_on_odd_tables(spark, make_docs, tables, odd_texts):
+    """Null, empty and very long texts, null and repeated ids, repeated rows, columns of all kinds of names."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    texts = [*odd_texts, prose(rng, words=30), prose(rng, words=30)] + [prose(rng, "fr", 30) for _ in range(10)]
+    ids = [None, *range(1, len(texts) - 1), 5]
+    extra = "n_lines N_DROPPED th node row root key fp keep_runs d score lang_pred label rank n"
+    docs = make_docs(texts + texts[-3:], ["en"] * 16 + ["fr"] * 13, ids=ids + ids[-3:], extra=extra)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)] + [(None, None, 0)], "doc_id long, quality int, toxic int")
+    root = tables(documents=docs, labels=labels)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, root)
+        rows = out.collect()
+        if name == "packing":
+            assert sum(r.length for r in rows if r.doc_id == 7) > 0 and len({r.sequence_id for r in rows}) >= 1
+            continue
+        assert out.columns == docs.columns, name
+        assert all(r.n_lines == 7 and r.N_DROPPED == 7 and r.th == 7 for r in rows), name
+        if name == "lines":
+            assert len(rows) == len(texts) + 3 and all(r.text is not None for r in rows)
+        if name == "near_duplicates":
+            assert sum(not (r.text or "").strip() for r in rows) == 1 and sum(r.text == odd_texts[8] for r in rows) == 1
+        assert stage(spark, docs.where("false"), root).collect() == []
