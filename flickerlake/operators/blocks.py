@@ -3,7 +3,7 @@
 A unit holds the events of one time window, as blocks of 16 x 16 pixels of a channel. First events are
 coded against the first event of the pixel before, later ones against a prediction from the pixel's
 last interval. Units are coded apart from each other, each in one task; a unit is bounded by its window.
-Coding is lossless. The stream that units make up has a header, then each unit behind its length.
+Coding is lossless for the events that ``codec.placed`` keeps. The stream that units make up has a header, then each unit behind its number and length.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.events import D_EMPTY, long
 from ..sources import manifests
-from ..sources.streams import FIXED_HEADER, MAGIC, Header
-from .codec import BLOCK, D_SHIFT_MAX, SHIFT_WHOLE, T_RESIDUAL_MAX, unit
+from ..sources.streams import FIXED_HEADER, MAGIC, Header, PixelEvents
+from ..sources.streams import LABEL as RAW_LABEL
+from .codec import BLOCK, D_SHIFT_MAX, NO_EVENT, SHIFT_WHOLE, SKIP, T_RESIDUAL_MAX, placed
 from .entropy import Context, Decoder, Encoder
 
-# Residuals of d are coded 255 higher; 256 says that no event follows, 257 skips a block.
+# Fixed value: residuals of d are coded 255 higher.
 OFFSET = 255
-NO_EVENT, SKIP = 256, 257
 COMPRESSED_MAGIC = b"addec"
 LABEL = "units"
+UNIT_HEAD = struct.Struct(">QI")
 SCHEMA = "adu long, x long, y long, c long, d long, t long"
 Event = tuple[int, int]
 
@@ -152,7 +153,7 @@ def compress(events: DataFrame, header: Header) -> DataFrame:
         return pa.table({"adu": pa.array([adu], pa.int64()), "n": pa.array([rows.num_rows], pa.int64()), "payload": pa.array([encode_unit(by, adu * length, length, header)], pa.binary())})
 
     source = events.select(*(long(F.col(k)).alias(k) for k in ("x", "y", "d", "t", "seq")), long(F.coalesce("c", F.lit(0))).alias("c"))
-    return source.withColumn("adu", unit(F.col("t"), length)).groupBy("adu").applyInArrow(one, "adu long, n long, payload binary")
+    return placed(source, length, ("x", "y", "c")).select("adu", *source.columns).groupBy("adu").applyInArrow(one, "adu long, n long, payload binary")
 
 
 def decompress(units: DataFrame, header: Header) -> DataFrame:
@@ -202,7 +203,7 @@ class UnitWriter(DataSourceArrowWriter):
             for batch in iterator:
                 for adu, payload in zip(batch.column("adu").to_pylist(), batch.column("payload").to_pylist()):
                     places.append((adu, out.tell()))
-                    out.write(struct.pack(">I", len(payload)) + payload)
+                    out.write(UNIT_HEAD.pack(adu, len(payload)) + payload)
         return Written(name, places[0][0] if places else -1, places)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -217,20 +218,36 @@ class UnitWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{m.name}")
 
 
+def _walk(f: pa.NativeFile, at: int) -> Iterator[tuple[int, int]]:
+    """(adu, place) of a stream's units, found by their lengths; a unit that was cut off ends it."""
+    while at + UNIT_HEAD.size <= f.size():
+        f.seek(at)
+        adu, length = UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))
+        if at + UNIT_HEAD.size + length > f.size():
+            return
+        yield adu, at
+        at += UNIT_HEAD.size + length
+
+
 class UnitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def partitions(self) -> list[Unit]:
         store, root = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(root).type == fs.FileType.File:
+            entries = [(root, None)]
+        else:
+            entries = [(f"{root}/{name}", places) for name, places in manifests.committed(self.path, LABEL) or ()]
         out = []
-        for name, places in manifests.committed(self.path, LABEL) or ():
-            with store.open_input_file(f"{root}/{name}") as f:
+        for name, places in entries:
+            with store.open_input_file(name) as f:
                 head = f.read(FIXED_HEADER.size + 12)
-            if head[:5] != COMPRESSED_MAGIC:
-                raise ValueError(f"{name} is not a compressed stream")
-            header = asdict(Header.parse(MAGIC + head[5:]))
-            out += [Unit(f"{root}/{name}", header, adu, place) for adu, place in places]
+                if head[:5] != COMPRESSED_MAGIC:
+                    raise ValueError(f"{name} is not a compressed stream")
+                header = Header.parse(MAGIC + head[5:])
+                places = [*_walk(f, header.size)] if places is None else places
+            out += [Unit(name, asdict(header), adu, place) for adu, place in places]
         return out
 
     def read(self, partition: Unit | None) -> Iterator[pa.RecordBatch]:
@@ -239,7 +256,7 @@ class UnitReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(partition.path) as f:
             f.seek(partition.place)
-            payload = f.read(struct.unpack(">I", f.read(4))[0])
+            payload = f.read(UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))[1])
         header = Header(**partition.header)
         length = header.ref_interval * header.adu_interval
         yield _rows(partition.adu, decode_unit(payload, partition.adu * length, length, header))
@@ -272,3 +289,27 @@ def save(events: DataFrame, header: Header, path: str, mode: str = "append") ->
 def load(spark, path: str) -> DataFrame:
     spark.dataSource.register(CompressedEvents)
     return spark.read.format("compressed_events").load(path)
+
+
+def open_events(spark, path: str) -> DataFrame:
+    """(x, y, c, d, t) of a stream or a folder of streams, raw or compressed, told apart by the first bytes.
+
+    One header is read on the driver.
+    """
+    spark.dataSource.register(PixelEvents)
+    spark.dataSource.register(CompressedEvents)
+    store, root = fs.FileSystem.from_uri(path)
+    first = root
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        names = [e[0] for label in (LABEL, RAW_LABEL) for e in manifests.committed(path, label) or ()]
+        names = names or [i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.is_file and not i.base_name.startswith(("_", "."))]
+        if not names:
+            raise ValueError(f"no stream in {path}")
+        first = f"{root}/{min(names)}"
+    with store.open_input_file(first) as f:
+        magic = f.read(len(MAGIC))
+    kinds = {MAGIC: "pixel_events", COMPRESSED_MAGIC: "compressed_events"}
+    if magic not in kinds:
+        raise ValueError(f"{first} is no event stream")
+    events = spark.read.format(kinds[magic]).load(path)
+    return events.select(*(long(F.col(k)).alias(k) for k in ("x", "y", "c", "d", "t")))

@@ -80,3 +80,39 @@ def clusters(points: DataFrame, reach: float) -> DataFrame:
         return pa.table({"frame": pa.array(np.full(len(keys), links.column("frame")[0].as_py()), pa.int64()), "x": pa.array(keys % 65536), "y": pa.array(keys // 65536), "cluster": pa.array(keys[root])})
 
     return links.groupBy("frame").applyInArrow(label, "frame long, x long, y long, cluster long")
+
+
+def crosses(points: DataFrame, radius: int = 2) -> DataFrame:
+    """(frame, x, y) of the pixels of a cross around each point, once each."""
+    arm = range(-radius, radius + 1)
+    spots = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in sorted({(0, i) for i in arm} | {(i, 0) for i in arm})))
+    return points.select("frame", F.explode(spots).alias("s")).select("frame", "s.x", "s.y").distinct()
+
+
+def outlines(boxes: DataFrame) -> DataFrame:
+    """(frame, x, y) of the pixels on the sides of boxes(frame, x0, y0, x1, y1), once each."""
+
+    def level(y: str) -> Column:
+        return F.transform(F.sequence("x0", "x1"), lambda i: F.struct(i.alias("x"), F.col(y).alias("y")))
+
+    def upright(x: str) -> Column:
+        return F.transform(F.sequence("y0", "y1"), lambda i: F.struct(F.col(x).alias("x"), i.alias("y")))
+
+    return boxes.select("frame", F.explode(F.concat(level("y0"), level("y1"), upright("x0"), upright("x1"))).alias("s")).select("frame", "s.x", "s.y").distinct()
+
+
+def painted(images: DataFrame, marks: DataFrame, color: int = 255) -> DataFrame:
+    """images(frame, x, y, v) with the marked pixels in ``color``, also where the image has no value."""
+    marked = marks.withColumn("m", long(F.lit(color)))
+    return images.join(marked, ["frame", "x", "y"], "full").select("frame", "x", "y", F.coalesce("m", "v").alias("v"))
+
+
+def threshold_resets(points: DataFrame, radius: Column, width: Column, height: Column, baseline: int) -> DataFrame:
+    """(frame, x, y, threshold): pixels within a square around a point, whose threshold falls to min(baseline, 2).
+
+    ``radius`` is a quality level's share of the plane or a number set by hand; at 0 nothing is reset.
+    """
+    reach = points.withColumn("r", radius).where("r > 0")
+    inside = lambda c, side: F.explode(F.sequence(F.greatest(F.col(c) - F.col("r"), F.lit(0)), F.least(F.col(c) + F.col("r"), side - 1)))
+    rows = reach.withColumn("ny", inside("y", height)).withColumn("nx", inside("x", width))
+    return rows.select("frame", F.col("nx").alias("x"), F.col("ny").alias("y")).distinct().withColumn("threshold", long(F.lit(min(baseline, 2))))

@@ -20,6 +20,8 @@ BATCH = 4096
 LOG_MIDDLE = math.log1p(128 / 255)
 MIDDLE_BAND = (0.406, 0.407)
 LOG_STEP = 0.02
+# How far a level must be towards an end of the range for a reset at the same tick to count.
+NEAR_FULL, NEAR_DARK = 0.6, 0.3
 
 Step = Callable[[Any, tuple], Iterable[tuple]]
 
@@ -120,9 +122,9 @@ def contrast_events(events: DataFrame, ref: int, theta: float = 0.01) -> DataFra
             return
         new, level, still = _log_light(d, t - old, ref), s["level"], t == old
         middle = MIDDLE_BAND[0] < new < MIDDLE_BAND[1]
-        if middle and (level > math.log(2) - theta or (still and level > 0.6)):
+        if middle and (level > math.log(2) - theta or (still and level > NEAR_FULL)):
             p = 1
-        elif middle and (level < theta or (still and level < 0.3)):
+        elif middle and (level < theta or (still and level < NEAR_DARK)):
             p = 0
         elif new > level + theta / 2:
             p = 1

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+WINDOW = 8
 # SSIM's stabilisers for an 8-bit range.
 C1 = (0.01 * 255) ** 2
 C2 = (0.03 * 255) ** 2
@@ -34,3 +35,22 @@ def ssim(a: Column, b: Column) -> Column:
     spread = lambda x, y, mx, my: _sum(F.zip_with(x, y, lambda p, q: p * q)) - n * mx * my
     var_a, var_b, cov = spread(a, a, mean_a, mean_a), spread(b, b, mean_b, mean_b), spread(a, b, mean_a, mean_b)
     return (2 * mean_a * mean_b + C1) * (2 * cov + C2) / ((mean_a * mean_a + mean_b * mean_b + C1) * (var_a + var_b + C2))
+
+
+def frame_ssim(original: DataFrame, other: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(frame, windows, ssim): the mean over all whole windows of two images, as a percentage.
+
+    Window sums come from two running sums, along rows and then along columns, so each pixel is touched
+    twice whatever the window's size. Positions that either image lacks take their windows out.
+    """
+    both = original.select("frame", "x", "y", F.col("v").alias("a")).join(other.select("frame", "x", "y", F.col("v").alias("b")), ["frame", "x", "y"])
+    terms = {"n": F.lit(1), "a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b"), "ab": F.col("a") * F.col("b")}
+    rows = both.select("frame", "x", "y", *(v.cast("long").alias(k) for k, v in terms.items()))
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy("frame", across).orderBy(along).rangeBetween(0, window - 1)
+        rows = rows.select("frame", "x", "y", *(F.sum(k).over(w).alias(k) for k in terms))
+    size = float(window * window)
+    mean_a, mean_b = F.col("a") / size, F.col("b") / size
+    var_a, var_b, cov = F.col("aa") - size * mean_a * mean_a, F.col("bb") - size * mean_b * mean_b, F.col("ab") - size * mean_a * mean_b
+    score = (2 * mean_a * mean_b + C1) * (2 * cov + C2) / ((mean_a * mean_a + mean_b * mean_b + C1) * (var_a + var_b + C2))
+    return rows.where(F.col("n") == window * window).groupBy("frame").agg(F.count("*").alias("windows"), (F.avg(score) * 100).alias("ssim"))

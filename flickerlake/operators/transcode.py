@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.events import D_EMPTY, D_MAX, D_ZERO
+from ..functions.events import D_EMPTY, D_MAX, D_ZERO, QUALITY_LEVELS
 from .folds import LOG_MIDDLE, LOG_STEP, fold
 
 TINY = 2.0**-23
@@ -48,6 +50,12 @@ class Options:
     most: int = 10
     velocity: int = 1
 
+    @classmethod
+    def of_level(cls, level: int, **others: Any) -> Options:
+        """The thresholds of a quality level; keyword arguments set anything by hand."""
+        _, baseline, most, velocity, _ = QUALITY_LEVELS[level]
+        return cls(**{"baseline": baseline, "most": most, "velocity": velocity, **others})
+
 
 @dataclass
 class Pixel:
@@ -88,7 +96,7 @@ class Pixel:
             node.d = max(d + 1, int(math.floor(node.light)).bit_length())
         if not self.options.continuous:
             return True, 0.0, 0.0
-        return True, light * (1 - share), ticks * (1 - share)
+        return True, light - light * share, ticks - ticks * share
 
     def integrate(self, light: float, ticks: float) -> None:
         o, span = self.options, ticks
@@ -198,18 +206,36 @@ def integrate_pixels(images: DataFrame, options: Options) -> DataFrame:
     return fold(images, ["v"], lambda: Pixel(options), step, _EVENTS, finish, ("frame",))
 
 
-def transcode(images: DataFrame, options: Options) -> DataFrame:
-    """(x, y, n, d, t): events of images(frame, x, y, v), each shown for one reference interval."""
+def transcode(images: DataFrame, options: Options, resets: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """(x, y, n, d, t): events of images(frame, x, y, v), each shown for one reference interval.
+
+    ``resets`` (frame, x, y, threshold) are the features' feedback: after that frame's value a pixel's
+    threshold is the one given. ``levels`` (frame, baseline, most, velocity) change the quality from a
+    frame on; every pixel's threshold then starts anew from the baseline. They are one row a change.
+    """
+    plain = F.lit(None).cast("long")
+    rows = images.select("frame", "x", "y", "v")
+    rows = rows.join(resets.select("frame", "x", "y", "threshold"), ["frame", "x", "y"], "left") if resets is not None else rows.withColumn("threshold", plain)
+    changes = [] if levels is None else sorted((r["frame"], r["baseline"], r["most"], r["velocity"]) for r in levels.collect())
 
     def start() -> dict:
-        return {"pixel": Pixel(options, threshold=options.baseline), "n": 0}
+        return {"pixel": Pixel(replace(options), threshold=options.baseline), "n": 0, "level": 0}
 
     def step(s: dict, row: tuple) -> Iterable[tuple]:
-        for event in s["pixel"].step(int(row[0]), float(row[0]), float(options.ref)):
+        v, frame, threshold = row
+        pixel = s["pixel"]
+        while s["level"] < len(changes) and changes[s["level"]][0] <= frame:
+            _, baseline, most, velocity = changes[s["level"]]
+            pixel.options = replace(pixel.options, baseline=baseline, most=most, velocity=velocity)
+            pixel.threshold, pixel.quiet = baseline, 0
+            s["level"] += 1
+        for event in pixel.step(int(v), float(v), float(options.ref)):
             yield s["n"], *event
             s["n"] += 1
+        if threshold is not None:
+            pixel.threshold = threshold
 
-    return fold(images, ["v"], start, step, _EVENTS, order=("frame",))
+    return fold(rows, ["v", "frame", "threshold"], start, step, _EVENTS, order=("frame",))
 
 
 def _shown(log: float) -> float:

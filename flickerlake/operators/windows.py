@@ -37,6 +37,17 @@ def delta_to_absolute(events: DataFrame, ref: int | None = None, dt: str = "dt")
     return F.coalesce(F.sum(step).over(before()), F.lit(0)) + F.col(dt)
 
 
+def outside_exposures(events: DataFrame, exposures: DataFrame, frame: Column) -> DataFrame:
+    """Events before or after the exposure of their frame, with ``side``; exposures(frame, opens, closes).
+
+    An interval join binned by frame: an exposure lies within its frame, so equal frames are joined and
+    the two comparisons follow. Events of frames without an exposure are left out.
+    """
+    t = F.col("t")
+    both = events.withColumn("frame", frame).join(exposures, "frame").where((t < F.col("opens")) | (t > F.col("closes")))
+    return both.withColumn("side", F.when(t < F.col("opens"), "before").otherwise("after"))
+
+
 def frame_aligned(events: DataFrame, ref: int) -> DataFrame:
     """Events whose time lies after every earlier event's, rounded up to a multiple of ``ref``.
 

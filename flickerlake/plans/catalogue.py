@@ -46,4 +46,4 @@ def query(name: str, sql: str | None = None, recursive: bool = False) -> Callabl
     return add
 
 
-from . import codec, features, folds, frames, metrics, scalars, windows  # noqa: E402, F401
+from . import codec, features, folds, frames, metrics, scalars, streams, windows  # noqa: E402, F401

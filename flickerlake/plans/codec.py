@@ -15,7 +15,8 @@ LENGTH = T.REF * T.ADU
 
 PLACED = """, placed AS (
     SELECT *, greatest(t - 1, 0) // 86400 AS adu, y // 16 AS by_, x // 16 AS bx FROM px
-), numbered AS (SELECT *, row_number() OVER (PARTITION BY x, y, adu ORDER BY t, seq) - 1 AS k FROM placed)"""
+), arrived AS (SELECT *, row_number() OVER p - 1 AS arrival, lag(t) OVER p AS before FROM placed WINDOW p AS (PARTITION BY x, y, adu ORDER BY t, seq)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY x, y, adu ORDER BY t, seq) - 1 AS k FROM arrived WHERE arrival < 2 OR t > before)"""
 INTRA = PLACED + """, intra AS (
     SELECT adu, by_, bx, x, y, d, t, d - coalesce(lag(d) OVER b, 0) AS d_residual, t - coalesce(lag(t) OVER b, adu * 86400) AS t_residual
     FROM numbered WHERE k = 0 WINDOW b AS (PARTITION BY adu, by_, bx ORDER BY y, x)
@@ -32,7 +33,7 @@ def adu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("adu").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query("block_histogram", PLACED + " SELECT adu, by_, bx, count(*) AS n, count(DISTINCT (x, y)) AS pixels FROM placed GROUP BY ALL")
+@query("block_histogram", PLACED + " SELECT adu, by_, bx, count(*) AS n, count(DISTINCT (x, y)) AS pixels FROM numbered GROUP BY ALL")
 def block_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and pixels by block; pixels are counted from their first events, which needs no distinct."""
     e = O.placed(pixel_events(spark, sf_dir), LENGTH)
@@ -102,8 +103,31 @@ def entropy_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bits(spark, sf_dir).select("adu", "symbols", F.round(F.col("bits") + 0.0, 6).alias("bits"))
 
 
-@query("adu_sizes", _BITS + " , raw AS (SELECT adu, count(*) * 9 AS raw_bytes FROM placed GROUP BY adu) SELECT adu, raw_bytes, ceil(round(bits, 6) / 8)::BIGINT AS d_bytes FROM bits JOIN raw USING (adu)")
+_ALL = INTRA + INTER.removeprefix(PLACED) + """, residual AS (SELECT adu, d_residual, t_residual FROM intra UNION ALL SELECT adu, d_residual, t - t_predicted FROM inter),
+    coded AS (SELECT adu, 'd' AS kind, d_residual AS symbol FROM residual
+        UNION ALL SELECT adu, 'shift', CASE WHEN abs(t_residual) < 127 THEN 0 ELSE 15 END FROM residual
+        UNION ALL SELECT adu, 't', (t_residual >> (8 * b)) & 255 FROM residual, range(0, 8) AS r(b) WHERE b < 2 OR abs(t_residual) >= 127),
+    touched AS (SELECT adu, count(*) AS blocks, sum(least(16, w - bx * 16) * least(16, h - by_ * 16)) AS area, (w + 15) // 16 * ((h + 15) // 16) AS every FROM (SELECT DISTINCT adu, by_, bx FROM intra), plane GROUP BY adu, w, h),
+    sym AS (SELECT adu, kind, symbol::BIGINT AS symbol, count(*) AS n FROM coded GROUP BY ALL UNION ALL SELECT adu, 'd', 256, area FROM touched UNION ALL SELECT adu, 'd', 257, every - blocks FROM touched WHERE every > blocks)"""
+
+
+def _all_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = pixel_events(spark, sf_dir)
+    return O.symbols(e, LENGTH, *T.plane(e))
+
+
+@query("coded_symbols", _ALL + " SELECT adu, kind, count(*) AS symbols, sum(n)::BIGINT AS n FROM sym GROUP BY adu, kind")
+def coded_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols of each kind a unit is coded in, and how many of them differ."""
+    return _all_symbols(spark, sf_dir).groupBy("adu", "kind").agg(F.count("*").alias("symbols"), F.sum("n").alias("n"))
+
+
+@query("adu_sizes", _ALL + """, tot AS (SELECT adu, kind, sum(n) AS all_n FROM sym GROUP BY ALL), bits AS (SELECT adu, sum(n * -log2(n / all_n::DOUBLE)) AS bits FROM sym JOIN tot USING (adu, kind) GROUP BY adu),
+    raw AS (SELECT adu, count(*) * 9 AS raw_bytes FROM placed GROUP BY adu) SELECT adu, raw_bytes, ceil(round(bits, 6) / 8)::BIGINT AS coded_bytes FROM bits JOIN raw USING (adu)""")
 def adu_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw bytes of a unit beside the coded bytes of its first events' exponents."""
+    """Raw bytes of a unit beside its coded bytes: the entropy of all its symbols, by kind."""
+    nlog = F.sum(F.col("n") * F.log2(F.col("n").cast("double")))
+    kinds = _all_symbols(spark, sf_dir).groupBy("adu", "kind").agg(F.sum("n").alias("n"), nlog.alias("nlog"))
+    bits = kinds.groupBy("adu").agg(F.sum(F.col("n") * F.log2(F.col("n").cast("double")) - F.col("nlog")).alias("bits"))
     raw = pixel_events(spark, sf_dir).groupBy(O.unit(F.col("t"), LENGTH).alias("adu")).agg((F.count("*") * 9).alias("raw_bytes"))
-    return _bits(spark, sf_dir).join(raw, "adu").select("adu", "raw_bytes", E.long(F.ceil(F.round("bits", 6) / 8)).alias("d_bytes"))
+    return bits.join(raw, "adu").select("adu", "raw_bytes", E.long(F.ceil(F.round("bits", 6) / 8)).alias("coded_bytes"))

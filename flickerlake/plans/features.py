@@ -169,9 +169,32 @@ def cluster_bboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feature_radius_reset", CORNERS + " SELECT DISTINCT c.frame, c.x + i AS x, c.y + j AS y, 2::BIGINT AS threshold FROM corner c, range(-1, 2) AS a(i), range(-1, 2) AS b(j), plane WHERE c.x + i BETWEEN 0 AND w - 1 AND c.y + j BETWEEN 0 AND h - 1")
 def feature_radius_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels within a square of radius 1 around a corner, whose threshold falls to 2."""
-    spots = F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = corners(spark, sf_dir).select("frame", F.explode(spots).alias("s")).select("frame", "s.x", "s.y").distinct()
+    """Pixels within a square of radius 1, set by hand, around a corner, whose threshold falls to 2."""
     w, h = T.plane(pixel_events(spark, sf_dir))
-    inside = F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)
-    return near.where(inside).select("frame", "x", "y", E.long(F.lit(2)).alias("threshold"))
+    return O.threshold_resets(corners(spark, sf_dir), E.long(F.lit(1)), w, h, 2)
+
+
+@query("level_radius_reset", CORNERS + """, lv(crf, divisor) AS (VALUES (1, 2), (2, 3), (3, 4)), sized AS (SELECT frame, x, y, least(w, h) // divisor AS r FROM corner JOIN lv ON frame % 3 + 1 = crf, plane),
+    spot AS (SELECT x, y FROM range(0, 15) AS a(x), (SELECT unnest(range(0, h)) AS y FROM plane))
+    SELECT DISTINCT frame, s.x, s.y, 1::BIGINT AS threshold FROM sized c JOIN spot s ON r > 0 AND abs(c.x - s.x) <= r AND abs(c.y - s.y) <= r""")
+def level_radius_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with radii that are shares of the plane's smaller side, by the frame's level."""
+    w, h = T.plane(pixel_events(spark, sf_dir))
+    divisor = F.element_at(F.array(*(F.lit(d) for d in (2, 3, 4))), (F.col("frame") % 3 + 1).cast("int"))
+    return O.threshold_resets(corners(spark, sf_dir), E.long(F.floor(F.least(w, h) / divisor)), w, h, 1)
+
+
+@query("corner_overlay", CORNERS + """, mark AS (SELECT DISTINCT frame, x + dx AS x, y + dy AS y FROM corner, (VALUES (0, 0), (-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2)) AS o(dx, dy))
+    SELECT frame, x, y, CASE WHEN m.hit THEN 255 ELSE v END AS v FROM img FULL JOIN (SELECT *, true AS hit FROM mark) m USING (frame, x, y)""")
+def corner_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily images with a cross on each corner."""
+    return O.painted(T.daily_image(pixel_events(spark, sf_dir)), O.crosses(corners(spark, sf_dir)))
+
+
+@query("box_overlay", CORNERS + """, box AS (SELECT frame, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM corner GROUP BY frame),
+    side AS (SELECT frame, unnest(range(x0, x1 + 1)) AS x, y0 AS y FROM box UNION SELECT frame, unnest(range(x0, x1 + 1)), y1 FROM box UNION SELECT frame, x0, unnest(range(y0, y1 + 1)) FROM box UNION SELECT frame, x1, unnest(range(y0, y1 + 1)) FROM box)
+    SELECT frame, x, y, CASE WHEN s.hit THEN 255 ELSE v END AS v FROM img FULL JOIN (SELECT *, true AS hit FROM side) s USING (frame, x, y)""")
+def box_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily images with a rectangle around all their corners."""
+    boxes = corners(spark, sf_dir).groupBy("frame").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return O.painted(T.daily_image(pixel_events(spark, sf_dir)), O.outlines(boxes))

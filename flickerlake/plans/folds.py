@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..operators import folds as O
 from ..operators import transcode as X
 from ..sources import tables as T
@@ -84,6 +85,17 @@ def transcode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.transcode(T.daily_image(pixel_events(spark, sf_dir)), X.Options(baseline=2, most=7, velocity=7))
 
 
+@query("transcode_feedback")
+def transcode_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with the corners' feedback: thresholds of pixels near a frame's corner fall to 2 after it."""
+    e = pixel_events(spark, sf_dir)
+    images = T.daily_image(e)
+    corners = features.fast_corners(images, *T.plane(e))
+    w, h = T.plane(e)
+    resets = features.threshold_resets(corners, F.lit(1), w, h, 9)
+    return X.transcode(images, X.Options.of_level(5, baseline=9, most=25), resets)
+
+
 @query("polarity_transcode")
 def polarity_transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of pixels known by polarity alone, on ticks of an hour."""

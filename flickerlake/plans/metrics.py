@@ -72,6 +72,19 @@ def mse_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.select("frame", "n", F.round("mse", 6).alias("mse"), F.round("psnr", 6).alias("psnr"))
 
 
+@query("frame_ssim", FILLED + """, both_v AS (SELECT frame, x, y, v AS a, v // 16 * 16 AS b FROM filled),
+    across AS (SELECT frame, x, y, count(*) OVER w AS n, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(a * a) OVER w AS aa, sum(b * b) OVER w AS bb, sum(a * b) OVER w AS ab FROM both_v
+        WINDOW w AS (PARTITION BY frame, y ORDER BY x RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    sums AS (SELECT frame, sum(n) OVER w AS n, sum(a) OVER w / 64.0::DOUBLE AS ma, sum(b) OVER w / 64.0::DOUBLE AS mb, (sum(aa) OVER w)::DOUBLE AS aa, (sum(bb) OVER w)::DOUBLE AS bb, (sum(ab) OVER w)::DOUBLE AS ab FROM across
+        WINDOW w AS (PARTITION BY frame, x ORDER BY y RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING))
+    SELECT frame, count(*) AS windows, round(avg((2 * ma * mb + 6.5025) * (2 * (ab - 64 * ma * mb) + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (aa - 64 * ma * ma + bb - 64 * mb * mb + 58.5225))) * 100, 6) AS ssim FROM sums WHERE n = 64 GROUP BY frame""")
+def frame_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconstructed frames against themselves in steps of 16 values, over all 8 x 8 windows."""
+    frames = filled(spark, sf_dir)
+    coarse = frames.withColumn("v", E.whole(F.col("v"), 16) * 16)
+    return O.frame_ssim(frames, coarse).select("frame", "windows", F.round("ssim", 6).alias("ssim"))
+
+
 @query("ssim_window", """, w AS (SELECT vec_id, list_transform(embedding, lambda e: trunc((e::DOUBLE + 1) * 127.5)) AS a FROM embeddings),
     p AS (SELECT w.vec_id, w.a, v.a AS b, list_sum(w.a) / 64 AS ma, list_sum(v.a) / 64 AS mb FROM w JOIN w v ON v.vec_id = w.vec_id + 1),
     s AS (SELECT vec_id, ma, mb, list_sum(list_transform(a, lambda x, i: x * x)) - 64 * ma * ma AS va, list_sum(list_transform(b, lambda x, i: x * x)) - 64 * mb * mb AS vb, list_sum(list_transform(a, lambda x, i: x * b[i])) - 64 * ma * mb AS cov FROM p)
@@ -142,3 +155,9 @@ def ratio_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("b") / F.col("base")
     bucket = F.when(r >= 3, "3x").when(r >= 2, "2x").when(r >= 1, "1x").otherwise("below")
     return m.where("crf < 9").join(base, "video").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("sample_videos", ", v AS (SELECT DISTINCT video FROM run) SELECT video FROM v ORDER BY md5(video::VARCHAR), video LIMIT 10")
+def sample_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten videos drawn at random: those with the smallest hashes, so a draw can be repeated."""
+    return T.run_log(spark, sf_dir).select("video").distinct().orderBy(F.md5(F.col("video").cast("string")), "video").limit(10)

@@ -79,10 +79,18 @@ def asof_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interleave_sort", " SELECT x, y, t, seq, row_number() OVER (PARTITION BY t // 86400 ORDER BY t, seq) AS nth, t // 86400 AS frame FROM px")
 def interleave_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in time order, numbered within days; the sort is ranged, not in one task."""
-    w = Window.partitionBy("frame").orderBy("t", "seq")
-    e = pixel_events(spark, sf_dir).select("x", "y", "t", "seq", E.whole(F.col("t"), T.DAY).alias("frame"))
-    return e.withColumn("nth", E.long(F.row_number().over(w))).orderBy("t", "seq")
+    """Events in time order, numbered within days.
+
+    Events are numbered within intervals, and each interval begins where the counts of those before it in
+    its day end, so a day isn't one task's work.
+    """
+    interval = E.whole(F.col("t"), T.REF)
+    e = pixel_events(spark, sf_dir).select("x", "y", "t", "seq", E.whole(F.col("t"), T.DAY).alias("frame"), interval.alias("interval"))
+    before = F.sum("n").over(Window.partitionBy("frame").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1))
+    starts = e.groupBy("frame", "interval").agg(F.count("*").alias("n")).select("interval", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("interval").orderBy("t", "seq"))
+    numbered = e.withColumn("own", own).join(starts, "interval")
+    return numbered.select("x", "y", "t", "seq", E.long(F.col("start") + F.col("own")).alias("nth"), "frame").orderBy("t", "seq")
 
 
 @query("frame_limit", " SELECT x, y, t, seq FROM px WHERE t // 86400 >= 5 AND t // 86400 < 15")
@@ -92,12 +100,14 @@ def frame_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_events(spark, sf_dir).where((frame >= 5) & (frame < 15)).select("x", "y", "t", "seq")
 
 
-@query("exposure_gap_events", """, e AS (SELECT *, t % 3600 AS s FROM px) SELECT x, y, seq, CASE WHEN s < 600 THEN 'before' ELSE 'after' END AS side FROM e WHERE s < 600 OR s > 3000""")
+@query("exposure_gap_events", """, exposure AS (SELECT t // 86400 AS frame, min(t) + 600 AS opens, max(t) - 600 AS closes FROM px WHERE p = 1 GROUP BY ALL)
+    SELECT x, y, seq, t // 86400 AS frame, CASE WHEN t < opens THEN 'before' ELSE 'after' END AS side FROM px JOIN exposure e ON t // 86400 = e.frame AND (t < opens OR t > closes)""")
 def exposure_gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events outside the exposure of their interval, which opens 600 ticks in and closes 600 before its end."""
-    s = F.col("t") % T.REF
-    side = F.when(s < 600, "before").otherwise("after")
-    return pixel_events(spark, sf_dir).where((s < 600) | (s > T.REF - 600)).select("x", "y", "seq", side.alias("side"))
+    """Events outside their day's exposure, which opens 600 ticks after its first ON event and closes 600 before its last."""
+    e = pixel_events(spark, sf_dir)
+    day = E.whole(F.col("t"), T.DAY)
+    exposures = e.where("p = 1").groupBy(day.alias("frame")).agg((F.min("t") + 600).alias("opens"), (F.max("t") - 600).alias("closes"))
+    return W.outside_exposures(e, exposures, day).select("x", "y", "seq", "frame", "side")
 
 
 @query("flatten_chunks", " SELECT x, y, seq, d FROM px")

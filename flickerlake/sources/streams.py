@@ -127,6 +127,7 @@ class Range(InputPartition):
 @dataclass
 class Written(WriterCommitMessage):
     stream: str
+    first: int = 0
 
 
 class StreamReader(DataSourceReader):
@@ -218,6 +219,9 @@ class PixelEvents(DataSource):
 
 
 POLARITY = np.dtype([("t", "<u4"), ("data", "<u4")])
+# Kind and size of the records of a polarity file.
+POLARITY_KIND = bytes((0, 8))
+POLARITY_LABEL = "polarity"
 
 
 class PolarityReader(DataSourceReader):
@@ -228,14 +232,19 @@ class PolarityReader(DataSourceReader):
         self.records = int(options.get("range_records", RANGE_RECORDS))
 
     def partitions(self) -> list[Range]:
-        store, place = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(place) as f:
-            start, head = 0, f.read(1 << 16)
-            while head[start : start + 1] == b"%":
-                start = head.index(b"\n", start) + 1
-            start += 2
-            n = (f.size() - start) // POLARITY.itemsize
-        return [Range(place, {"start": start}, at, min(self.records, n - at)) for at in range(0, n, self.records)]
+        store, root = fs.FileSystem.from_uri(self.path)
+        entries = manifests.committed(self.path, POLARITY_LABEL)
+        places = [root] if entries is None else [f"{root}/{name}" for name, _ in sorted(entries, key=lambda e: e[1])]
+        out = []
+        for place in places:
+            with store.open_input_file(place) as f:
+                start, head = 0, f.read(1 << 16)
+                while head[start : start + 1] == b"%":
+                    start = head.index(b"\n", start) + 1
+                start += len(POLARITY_KIND)
+                n = (f.size() - start) // POLARITY.itemsize
+            out += [Range(place, {"start": start}, at, min(self.records, n - at)) for at in range(0, n, self.records)]
+        return out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -249,8 +258,40 @@ class PolarityReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["t", "x", "y", "p"])
 
 
+class PolarityWriter(DataSourceArrowWriter):
+    """One file a task, with width and height in its text; the manifest has files in order of their first time."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.size = int(options.get("width", 1)), int(options.get("height", 1))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, root = fs.FileSystem.from_uri(self.path)
+        store.create_dir(root, recursive=True)
+        name, first = f"{uuid.uuid4().hex}.dat", None
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(b"%% Height %d\n%% Version 2\n%% Width %d\n" % self.size[::-1] + POLARITY_KIND)
+            for batch in iterator:
+                t, x, y, p = (batch.column(k).to_numpy().astype(np.uint32) for k in ("t", "x", "y", "p"))
+                if len(t):
+                    first = int(t[0]) if first is None else first
+                records = np.zeros(len(t), POLARITY)
+                records["t"], records["data"] = t, p << 28 | y << 14 | x
+                out.write(records.tobytes())
+        return Written(name, -1 if first is None else first)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        manifests.publish(self.path, POLARITY_LABEL, sorted(([m.stream, m.first] for m in messages if m), key=lambda e: e[1]), self.overwrite)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, root = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m:
+                store.delete_file(f"{root}/{m.stream}")
+
+
 class PolarityEvents(DataSource):
-    """``spark.read.format("polarity_events")`` of (t, x, y, p)."""
+    """``polarity_events`` of (t, x, y, p); to write, options path, width and height. ``save_polarity`` writes in order of time."""
 
     @classmethod
     def name(cls) -> str:
@@ -262,6 +303,16 @@ class PolarityEvents(DataSource):
     def reader(self, schema) -> PolarityReader:
         return PolarityReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> PolarityWriter:
+        return PolarityWriter(self.options, overwrite)
+
+
+def save_polarity(events, path: str, width: int, height: int, mode: str = "append") -> None:
+    """Write events(t, x, y, p) so that files, and records within them, follow each other in time."""
+    events.sparkSession.dataSource.register(PolarityEvents)
+    ordered = events.select("t", "x", "y", "p").repartitionByRange("t").sortWithinPartitions("t", "y", "x", "p")
+    ordered.write.format("polarity_events").mode(mode).options(path=path, width=str(width), height=str(height)).save()
+
 
 def register(spark) -> None:
     for source in (PixelEvents, PolarityEvents):

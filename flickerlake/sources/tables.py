@@ -73,12 +73,14 @@ def json_events(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("coord.x", "coord.y", "coord.c", long(d).alias("d"), "delta_t", "seq")
 
 
-#: Log names: the video, the quality level, and the time of the run.
-LOG_NAME = r"^(.*)_(\d+)_(\d{2}_\d{2}_\d{4}_\d{2}_\d{2}_\d{2})\.log$"
+#: Log names: quality level, whether compressed, whether with features, the video, and the time of the run.
+LOG_NAME = r"^(\d+)_([^_]*)_([^_]*)_(.*?)_+(\d{2}_\d{2}_\d{4}_\d{2}_\d{2}_\d{2})\.log$"
 
 
 def log_names(names: DataFrame, column: str = "name") -> DataFrame:
-    """(name, video, crf, at) of evaluation logs, from their names alone; others are left out."""
+    """(name, video, crf, compressed, features, at) of evaluation logs by video and time; names of another form are left out."""
     part = lambda k: F.regexp_extract(column, LOG_NAME, k)
     named = names.where(F.col(column).rlike(LOG_NAME))
-    return named.select(F.col(column).alias("name"), part(1).alias("video"), part(2).cast("long").alias("crf"), F.to_timestamp(part(3), "dd_MM_yyyy_HH_mm_ss").alias("at"))
+    flags = (part(2) == "compressed").alias("compressed"), (part(3) == "features").alias("features")
+    at = F.to_timestamp(part(5), "dd_MM_yyyy_HH_mm_ss")
+    return named.select(F.col(column).alias("name"), part(4).alias("video"), part(1).cast("long").alias("crf"), *flags, at.alias("at")).orderBy("video", "at", "name")

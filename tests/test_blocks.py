@@ -81,3 +81,75 @@ def test_units_append_and_overwrite(spark, tmp_path):
     save(25, "overwrite")
     assert sorted(r.t for r in B.load(spark, str(tmp_path / "u")).collect()) == [25, 25]
     assert len([*(tmp_path / "u").glob("*.json")]) == 1
+
+
+def test_streams_are_opened_by_their_first_bytes(spark, tmp_path):
+    from flickerlake.sources import streams as S
+
+    S.register(spark)
+    header = Header(version=3, width=4, height=4, ref_interval=10, adu_interval=1)
+    df = spark.createDataFrame([(1, 1, 5, 5, 0), (2, 1, 6, 15, 1)], "x long, y long, d long, t long, seq long").selectExpr("*", "cast(null as int) as c")
+    B.save(df, header, str(tmp_path / "u"))
+    df.selectExpr("cast(x as int) x", "cast(y as int) y", "c", "cast(d as int) d", "t").write.format("pixel_events").mode("append").options(path=str(tmp_path / "r"), width="4", height="4").save()
+    expected = [(1, 1, 5, 5), (2, 1, 6, 15)]
+    units, raw = [*(tmp_path / "u").glob("*.units")], [*(tmp_path / "r").glob("*.events")]
+    for path in (tmp_path / "u", tmp_path / "r"):
+        assert sorted((r.x, r.y, r.d, r.t) for r in B.open_events(spark, str(path)).collect()) == expected
+    for files in (units, raw):
+        assert sorted((r.x, r.y, r.d, r.t) for f in files for r in B.open_events(spark, str(f)).collect()) == expected
+    (tmp_path / "x").write_bytes(b"something else")
+    with pytest.raises(ValueError, match="no event stream"):
+        B.open_events(spark, str(tmp_path / "x"))
+
+
+def test_message_models():
+    from flickerlake.operators.entropy import FixedLength, MaxLength, OneShot
+
+    rng = random.Random(5)
+    for n in (0, 1, 5, 8):
+        message = [rng.randrange(6) for _ in range(n)]
+        assert MaxLength(6, 8).decode(MaxLength(6, 8).encode(message)) == message
+        assert FixedLength(6, n).decode(FixedLength(6, n).encode(message)) == message
+    assert OneShot(300).decode(OneShot(300).encode([257])) == [257]
+    for wrong in (lambda: FixedLength(3, 2).encode([1]), lambda: MaxLength(3, 2).encode([1, 1, 1]), lambda: OneShot(3).encode([])):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_symbols_are_those_that_a_unit_is_coded_in(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from flickerlake.operators import codec
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(20), rng.randrange(9), rng.choice([3, 5, 128, 255]), rng.randrange(1, 3000)) for _ in range(400)]
+    rows = [(x, y, d, t, k) for k, (x, y, d, t) in enumerate(sorted(rows, key=lambda r: r[3]))]
+    df = spark.createDataFrame(rows, "x long, y long, d long, t long, seq long")
+    got = {}
+    for r in codec.symbols(df, 1000, F.lit(20), F.lit(9)).collect():
+        got[r.adu, r.kind, r.symbol] = r.n
+    seen = {}
+
+    class Spy:
+        def put(self, context, symbol):
+            kind = "d" if context is self.model.d else "t" if context is self.model.t else "shift"
+            key = self.adu, kind, symbol - B.OFFSET if kind == "d" else symbol
+            seen[key] = seen.get(key, 0) + 1
+
+        def done(self):
+            return b""
+
+    header = Header(version=3, width=20, height=9, ref_interval=1000, adu_interval=1)
+    for adu in range(3):
+        own = {}
+        for r in codec.placed(df, 1000).where(f"adu = {adu}").orderBy("t", "seq").collect():
+            own.setdefault((0, r.y, r.x), []).append((r.d, r.t))
+        spy = Spy()
+        spy.adu = adu
+        monkeypatch.setattr(B, "Encoder", lambda spy=spy: spy)
+        monkeypatch.setattr(B, "Model", lambda spy=spy: spy.__dict__.setdefault("model", B_MODEL()))
+        B.encode_unit(own, adu * 1000, 1000, header)
+    assert got == seen
+
+
+B_MODEL = B.Model

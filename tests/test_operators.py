@@ -124,3 +124,61 @@ def test_operators_on_no_events(spark):
     e = events(spark, [(0, 0, 1, 1, 1)]).where("false")
     assert frames.reconstruct(e, 10, 10).collect() == [] and codec.inter(e, 10).collect() == []
     assert folds.send_on_delta(e, 1).collect() == [] and folds.contrast_events(e, 10).collect() == []
+
+
+def test_frame_ssim_over_all_windows(spark):
+    import random
+
+    from flickerlake.operators import metrics
+
+    rng = random.Random(71)
+    a = {(x, y): rng.randrange(256) for x in range(13) for y in range(11)}
+    b = {k: min(255, max(0, v + rng.randint(-40, 40))) for k, v in a.items()}
+    del b[12, 0]
+    frames = [spark.createDataFrame([(0, *k, v) for k, v in m.items()], "frame long, x long, y long, v long") for m in (a, b)]
+    scores = []
+    for x in range(6):
+        for y in range(4):
+            spots = [(x + i, y + j) for i in range(8) for j in range(8)]
+            if any(s not in b for s in spots):
+                continue
+            ma, mb = (sum(m[s] for s in spots) / 64 for m in (a, b))
+            va, vb, cov = (sum((p[s] - mp) * (q[s] - mq) for s in spots) for p, mp, q, mq in ((a, ma, a, ma), (b, mb, b, mb), (a, ma, b, mb)))
+            scores.append((2 * ma * mb + metrics.C1) * (2 * cov + metrics.C2) / ((ma * ma + mb * mb + metrics.C1) * (va + vb + metrics.C2)))
+    row = metrics.frame_ssim(*frames).first()
+    assert row.windows == len(scores) and abs(row.ssim - 100 * sum(scores) / len(scores)) < 1e-6
+
+
+def test_third_events_that_are_not_later_are_dropped(spark):
+    from flickerlake.operators import codec
+
+    rows = [(0, 0, 1, 5, 0), (0, 0, 2, 5, 1), (0, 0, 3, 5, 2), (0, 0, 4, 6, 3), (0, 0, 5, 6, 4), (0, 0, 6, 20, 5), (0, 0, 7, 20, 6)]
+    df = spark.createDataFrame(rows, "x long, y long, d long, t long, seq long")
+    assert sorted((r.adu, r.k, r.d) for r in codec.placed(df, 10).collect()) == [(0, 0, 1), (0, 1, 2), (0, 2, 4), (1, 0, 6), (1, 1, 7)]
+
+
+def test_overlays_and_resets(spark):
+    from pyspark.sql import functions as F
+
+    from flickerlake.operators import features
+
+    points = spark.createDataFrame([(0, 5, 5), (1, 0, 9)], "frame long, x long, y long")
+    cross = {(r.frame, r.x, r.y) for r in features.crosses(points).collect()}
+    assert cross == {(f, x + i * a, y + i * b) for f, x, y in ((0, 5, 5), (1, 0, 9)) for i in range(-2, 3) for a, b in ((0, 1), (1, 0))}
+    boxes = spark.createDataFrame([(0, 1, 2, 4, 5), (1, 3, 3, 3, 3)], "frame long, x0 long, y0 long, x1 long, y1 long")
+    sides = {(r.frame, r.x, r.y) for r in features.outlines(boxes).collect()}
+    assert sides == {(0, x, y) for x in range(1, 5) for y in range(2, 6) if x in (1, 4) or y in (2, 5)} | {(1, 3, 3)}
+    resets = {(r.frame, r.x, r.y, r.threshold) for r in features.threshold_resets(points, F.lit(2), F.lit(7), F.lit(10), 5).collect()}
+    assert resets == {(f, x, y, 2) for f, px, py in ((0, 5, 5), (1, 0, 9)) for x in range(7) for y in range(10) if abs(x - px) <= 2 and abs(y - py) <= 2}
+    assert features.threshold_resets(points, F.lit(0), F.lit(7), F.lit(10), 5).count() == 0
+
+
+def test_intervals_bin_by_frame(spark):
+    from pyspark.sql import functions as F
+
+    from flickerlake.operators import windows
+
+    events = spark.createDataFrame([(k, k % 20) for k in range(60)], "t long, x long")
+    exposures = spark.createDataFrame([(0, 5, 12), (2, 40, 59)], "frame long, opens long, closes long")
+    got = {(r.t, r.side) for r in windows.outside_exposures(events, exposures, F.floor(F.col("t") / 20)).collect()}
+    assert got == {(t, "before") for t in range(5)} | {(t, "after") for t in range(13, 20)}

@@ -112,3 +112,53 @@ def test_reading_from_a_byte(spark, tmp_path):
     assert sorted(r.seq for r in reader.load(str(tmp_path / "s.events")).collect()) == [4, 5, 6, 7, 8, 9]
     with pytest.raises(Exception, match="no record begins"):
         spark.read.format("pixel_events").option("start_byte", h.size + 1).load(str(tmp_path / "s.events")).collect()
+
+
+def test_polarity_files_are_written_in_order_of_time(spark, tmp_path):
+    rows = [(k * 37 % 500, k % 640, k % 480, k % 2) for k in range(500)]
+    df = spark.createDataFrame(rows, "t long, x long, y long, p long").repartition(3)
+    S.save_polarity(df, str(tmp_path / "d"), 640, 480)
+    read = spark.read.format("polarity_events").load(str(tmp_path / "d"))
+    got = [tuple(r) for r in read.collect()]
+    assert [r[0] for r in got] == sorted(r[0] for r in rows) and sorted(got) == sorted(rows)
+    head = min((tmp_path / "d").glob("*.dat")).read_bytes().split(b"\n")
+    assert head[0] == b"% Height 480" and head[2] == b"% Width 640" and head[3][:2] == b"\x00\x08"
+    S.save_polarity(df.limit(4), str(tmp_path / "d"), 640, 480, "overwrite")
+    assert spark.read.format("polarity_events").load(str(tmp_path / "d")).count() == 4
+
+
+def test_log_names(spark):
+    from flickerlake.sources.tables import log_names
+
+    names = ["3_raw_features_VIRAT_S_01_02_11_2023_13_14_15.log", "0_compressed_nofeatures_a_01_01_2023_00_00_09.log", "other.log", "x_raw_features_v_01_01_2023_00_00_09.log"]
+    rows = log_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert [(r.video, r.crf, r.compressed, r.features, str(r.at)) for r in rows] == [("VIRAT_S_01", 3, False, True, "2023-11-02 13:14:15"), ("a", 0, True, False, "2023-01-01 00:00:09")]
+
+
+def log_bytes():
+    import pickle
+
+    put = lambda v: pickle.dumps(v, 3)
+    out = b"10x8x1\n" + b"META: Ticks per second: 7650\nMETA: ticks per source interval: 255\nMETA: t_max: 510\n"
+    for k in range(3):
+        out += put(5 + k) + put(f"\nADDER FAST: {100 + k}") + put(f"\nOpenCV FAST: {50 + k}") + put(7 + k)
+        out += put("Feature results:") + put(0.5) + put(0.25) + put(0.75)
+        out += put({"psnr": 70.0 + k, "mse": 1.5, "ssim": None}) + put(f"\nbps: {1048576.0 * (k + 1)}")
+    out += put(99) + put("RECONSTRUCTION") + b"".join(put({"psnr": 30.0 + k, "mse": 2.0, "ssim": 90.0}) for k in range(3))
+    return out + put("Compressed adu sizes") + put(1048576) + put(2097152)
+
+
+def test_run_logs(spark, tmp_path):
+    from flickerlake.sources.logs import parse, run_logs
+
+    (tmp_path / "a.log").write_bytes(log_bytes())
+    (tmp_path / "b.txt").write_bytes(b"no log")
+    rows = run_logs(spark, str(tmp_path)).orderBy("interval").collect()
+    assert [(r.interval, r.own_features, r.peer_features, r.own_time, r.peer_time, r.event_bitrate) for r in rows] == [(k, 5 + k, 7 + k, 100 + k, 50 + k, k + 1.0) for k in range(3)]
+    assert [(r.psnr, r.recon_psnr, r.recon_ssim, r.precision, r.accuracy, r.width, r.tps) for r in rows] == [(60.0, 30.0 + k, 90.0, 0.5, 0.75, 10, 7650) for k in range(3)]
+    assert [r.compressed_bitrate for r in rows] == [8.0, 8.0, 16.0]
+    with pytest.raises(Exception, match="plain values"):
+        import os
+        import pickle
+
+        parse(b"1x1x1\n" + pickle.dumps(os.getcwd, 3))
