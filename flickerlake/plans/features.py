@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import events as E
@@ -46,10 +46,9 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(corners(spark, sf_dir), "corners")
 
 
-def _reach(spark: SparkSession, sf_dir: str) -> float:
-    """A third of the plane's smaller side; one number."""
-    h = pixel_events(spark, sf_dir).agg(F.max("y") + 1).first()[0]
-    return min(T.WIDTH, h or 0) / 3.0
+def _reach(spark: SparkSession, sf_dir: str) -> Column:
+    """A third of the plane's smaller side, as a scalar subquery."""
+    return F.least(*T.plane(pixel_events(spark, sf_dir))) / F.lit(3.0)
 
 
 _REACH = "(SELECT least(w, h) / 3.0::DOUBLE FROM plane)"

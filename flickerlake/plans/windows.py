@@ -112,7 +112,10 @@ def exposure_gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flatten_chunks", " SELECT x, y, seq, d FROM px")
 def flatten_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events gathered by row and day, as a transcoder hands them on, and laid flat again."""
+    """Events gathered by row and interval, as a transcoder hands them on, and laid flat again.
+
+    An interval's events of a row are what a chunk may hold.
+    """
     e = pixel_events(spark, sf_dir)
-    chunks = e.groupBy("y", E.whole(F.col("t"), T.DAY).alias("frame")).agg(F.collect_list(F.struct("x", "seq", "d")).alias("chunk"))
+    chunks = e.groupBy("y", E.whole(F.col("t"), T.REF).alias("frame")).agg(F.collect_list(F.struct("x", "seq", "d")).alias("chunk"))
     return chunks.select("y", F.explode("chunk").alias("e")).select("e.x", "y", "e.seq", "e.d")

@@ -84,7 +84,7 @@ def test_clusters_join_chains(spark):
     points = [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (0, 9, 9), (1, 1, 1), (1, 1, 2), (1, 2, 1)]
     df = spark.createDataFrame(points, "frame long, x long, y long")
     got = {}
-    for r in features.clusters(df, 1.0).collect():
+    for r in features.clusters(df, F.lit(1.0)).collect():
         got.setdefault((r.frame, r.cluster), set()).add((r.x, r.y))
     assert got == {(0, 65536 + 2): {(2, 1), (3, 1)}, (1, 65536 + 1): {(1, 1)}}
 
