@@ -42,6 +42,11 @@ def intra(events: DataFrame, length: int) -> DataFrame:
 
 
 def shift_symbol(residual: Column) -> Column:
+    """0 for short residuals, else SHIFT_WHOLE.
+
+    A shift that is searched for until the rest is short, and then taken back by one step, leaves a rest
+    that is too long again; so between the two no symbol is ever coded, whatever loss is allowed.
+    """
     return long(F.when(F.abs(residual) < T_RESIDUAL_MAX, 0).otherwise(SHIFT_WHOLE))
 
 

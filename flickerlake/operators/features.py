@@ -67,26 +67,32 @@ def core_points(points: DataFrame, reach: Column) -> DataFrame:
 def clusters(points: DataFrame, reach: Column) -> DataFrame:
     """(frame, x, y, cluster): core points, and the smallest y * 65536 + x of those that chains of neighbours join.
 
-    Frames are clustered on their own; a frame's core points are bounded by its plane.
+    Cells are so small that all core points of one are neighbours, so a frame's links are between cells: a
+    task gets a row for each pair of cells that touch, a few for each cell that holds core points.
     """
     core = materialize(core_points(points, reach).select("frame", "x", "y"), "core")
     # core points are read from a table, as the self-join would find them twice
-    links = neighbours(core, reach).select("frame", (F.col("y") * 65536 + F.col("x")).alias("a"), (F.col("ny") * 65536 + F.col("nx")).alias("b"))
+    size = F.floor(F.sqrt(reach / 2)) + 1
+    cell = lambda x, y: long(F.floor(F.col(y) / size) * 65536 + F.floor(F.col(x) / size))
+    place = long(F.col("y") * 65536 + F.col("x"))
+    links = neighbours(core, reach).groupBy("frame", cell("x", "y").alias("a"), cell("nx", "ny").alias("b")).agg(F.min(place).alias("least"))
 
     def label(links: pa.Table) -> pa.Table:
-        a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
+        a, b, least = (links.column(k).to_numpy() for k in ("a", "b", "least"))
         keys, at = np.unique(np.r_[a, b], return_inverse=True)
-        i, j, root = at[: len(a)], at[len(a) :], np.arange(len(keys))
+        i, j, root = at[: len(a)], at[len(a) :], np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(root, i, least)
         while True:
             new = root.copy()
             np.minimum.at(new, i, root[j])
-            new = new[new]
+            np.minimum.at(new, j, new[i])
             if (new == root).all():
                 break
             root = new
-        return pa.table({"frame": pa.array(np.full(len(keys), links.column("frame")[0].as_py()), pa.int64()), "x": pa.array(keys % 65536), "y": pa.array(keys // 65536), "cluster": pa.array(keys[root])})
+        return pa.table({"frame": pa.array(np.full(len(keys), links.column("frame")[0].as_py()), pa.int64()), "cell": pa.array(keys), "cluster": pa.array(root)})
 
-    return links.groupBy("frame").applyInArrow(label, "frame long, x long, y long, cluster long")
+    labels = links.groupBy("frame").applyInArrow(label, "frame long, cell long, cluster long")
+    return core.withColumn("cell", cell("x", "y")).join(labels, ["frame", "cell"]).select("frame", "x", "y", "cluster")
 
 
 def crosses(points: DataFrame, radius: int = 2) -> DataFrame:
