@@ -240,8 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
     which the edges of a hub stay where they are. Each round's edges replace the last one's on disk.
     """
     edges = materialize(edges, "edges")
-    while True:
-        total = 2 * edges.count()
+    while total := 2 * edges.count():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = materialize(keyed_join(both.where("b > a"), least, ["a"], total).select(F.col("m").alias("a"), "b").where("a < b").distinct(), "large")

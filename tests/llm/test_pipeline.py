@@ -84,4 +84,3 @@ def test_stages_on_odd_tables(spark, make_docs, tables, odd_texts):
             assert len(rows) == len(texts) + 3 and all(r.text is not None for r in rows)
         if name == "near_duplicates":
             assert sum(not (r.text or "").strip() for r in rows) == 1 and sum(r.text == odd_texts[8] for r in rows) == 1
-        assert stage(spark, docs.where("false"), root).collect() == []
