@@ -29,6 +29,9 @@ from .entropy import Context, Decoder, Encoder
 
 # Fixed value: residuals of d are coded 255 higher.
 OFFSET = 255
+# Counts that symbols start with, as (first, last, count): small residuals, wrapped ones, and the two marks.
+D_LIKELY = [(0, 20, 10), (235, 275, 10), (245, 265, 20), (490, 510, 10), (511, 511, 20), (512, 512, 10)]
+T_LIKELY = [(0, 9, 10)]
 COMPRESSED_MAGIC = b"addec"
 LABEL = "units"
 UNIT_HEAD = struct.Struct(">QI")
@@ -40,7 +43,7 @@ class Model:
     """Contexts that encoder and decoder share."""
 
     def __init__(self) -> None:
-        self.d, self.t, self.shift = Context(OFFSET + SKIP + 1), Context(256), Context(SHIFT_WHOLE + 1)
+        self.d, self.t, self.shift = Context(OFFSET + SKIP + 1, D_LIKELY), Context(256, T_LIKELY), Context(SHIFT_WHOLE + 1)
 
 
 def predict(k: int, change: int, before: Event, last_dt: int, start: int, length: int) -> int:

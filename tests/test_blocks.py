@@ -153,3 +153,16 @@ def test_symbols_are_those_that_a_unit_is_coded_in(spark, monkeypatch):
 
 
 B_MODEL = B.Model
+
+
+def test_likely_symbols_are_cheap_from_the_start():
+    def cost(context, symbols):
+        out = Encoder()
+        for s in symbols:
+            out.put(context, s)
+        return len(out.done())
+
+    small = [B.OFFSET + k % 5 for k in range(40)]
+    assert cost(B.Model().d, small) < cost(Context(513), small)
+    # 21 + 20 + 21 symbols of 10, 21 of 20, the marks of 20 and 10, and 1 for each other
+    assert B.Model().d.total == 62 * 10 + 21 * 20 + 20 + 10 + (513 - 62 - 21 - 2)
