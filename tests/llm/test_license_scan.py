@@ -106,3 +106,25 @@ def test_changed_notice_beside_a_whole_one():
     for first, second, shares in ((changed, notice, (False, True)), (notice, changed, (True, False))):
         found = [m for m in L.Index(L.TEMPLATES).scan([" ".join(["x"] + first + second)])[0] if m[0] == "GPL-notice"]
         assert [m[3] == 1.0 for m in found] == [*shares]
+
+
+def test_query_against_its_sql(spark, make_docs, tables, odd_texts):
+    """The registered query, on notices whole, edited, cut and far apart, against exact containment without retrieval."""
+    import duckdb
+
+    from flickerlake.llm.registry import ORACLES, QUERIES
+
+    rng = random.Random(81)
+    texts = [t for t in odd_texts if len(t or "") < 60_000]
+    for name, notice in L.TEMPLATES.items():
+        words = notice.split()
+        edited = [w if rng.random() > 0.04 else "other" for w in words]
+        for body in (words, edited, words[: len(words) // 2]):
+            texts.append(f"{prose(rng, words=rng.randint(0, 70))} {' '.join(body)} {prose(rng, words=80)} {notice.upper()}")
+    root = tables(documents=make_docs(texts))
+    columns = ("doc_id", "template", "start_word", "n_words", "containment")
+    got = sorted(tuple(r[c] for c in columns) for r in QUERIES["op1_license_scan"](spark, root).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{root}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op1_license_scan']})").fetchall())
+    assert len(got) > 2 * len(L.TEMPLATES)
