@@ -119,6 +119,13 @@ def feature_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corners(spark, sf_dir).join(rebuilt_corners(spark, sf_dir), ["frame", "x", "y"], "left_anti")
 
 
+@query("rebuilt_features_per_frame", _BOTH + " SELECT frame, count(*) AS n, count(c.x) AS shared FROM rebuilt r LEFT JOIN corner c USING (frame, x, y) GROUP BY frame")
+def rebuilt_features_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the frames that a framer puts out, and how many of them the images have too."""
+    seen = corners(spark, sf_dir).withColumn("seen", F.lit(1))
+    return rebuilt_corners(spark, sf_dir).join(seen, ["frame", "x", "y"], "left").groupBy("frame").agg(F.count("*").alias("n"), F.count("seen").alias("shared"))
+
+
 @query(
     "feature_confusion",
     _BOTH
