@@ -7,6 +7,9 @@ data are a bounded sample of sparse rows, held as index and value arrays.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
 
 Row = tuple[np.ndarray, np.ndarray]
@@ -48,6 +51,13 @@ class Ftrl:
         return self._weights(slice(0, -1)), self._bias()
 
 
+def settled(ids: list[int], content: Callable[[int], tuple]) -> list[int]:
+    """Positions in order of their ids; those that share one go by what they hold, which only they are asked for."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    repeated = {i for i, n in Counter(ids).items() if n > 1}
+    return sorted(order, key=lambda k: (ids[k], *(content(k) if ids[k] in repeated else ()))) if repeated else order
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, learnable, materialize, within
-from .ftrl import Ftrl, softmax, temperature
+from .ftrl import Ftrl, settled, softmax, temperature
 
 DIMS = 1 << 15
 ORDERS = 3
@@ -164,17 +164,19 @@ def fit(
             found = [ngram_counts(t.as_py(), dims) for t in batch.column("text")]
             none = np.zeros(0, np.int64), np.zeros(0, np.int64)
             at, count = zip(*(f or none for f in found)) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int64()))], ["doc_id", "lang", "at", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], ["doc_id", "lang", "at", "counts"])
 
-    sample = chosen.mapInArrow(task, "doc_id long, lang string, at array<int>, counts array<long>").where(F.size("at") > 0)
+    sample = chosen.mapInArrow(task, "doc_id long, lang string, at array<int>, counts array<int>").where(F.size("at") > 0)
     rank = F.xxhash64(F.lit("langid-rank"), "doc_id").alias("rank")
     sample = within(materialize(sample.select("*", rank), "langid-sample"), max_entries)
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))).orderBy("doc_id", "lang", "at", "counts").toArrow()
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))).toArrow()
     place = {name: k for k, name in enumerate(languages)}
-    vectors, labels, folds = [], [place[x] for x in sample.column("lang").to_pylist()], sample.column("fold").to_pylist()
+    labels, folds, vectors = [place[x] for x in sample.column("lang").to_pylist()], sample.column("fold").to_pylist(), []
     for at, count in zip(sample.column("at"), sample.column("counts")):
-        at = at.values.to_numpy().astype(np.int64)
-        vectors.append((at, tf_idf(at, count.values.to_numpy(), idf)))
+        at = at.values.to_numpy()
+        vectors.append((at, tf_idf(at, count.values.to_numpy(), idf).astype(np.float32)))
+    order = settled(sample.column("doc_id").to_pylist(), lambda k: (labels[k], vectors[k][0].tobytes(), vectors[k][1].tobytes()))
+    labels, folds, vectors = ([x[k] for k in order] for x in (labels, folds, vectors))
     train = [k for k, f in enumerate(folds) if f or len(folds) < 20]
     model = Ftrl(dims, len(languages), l1=l1, l2=l2)
     weights, bias = model.fit([vectors[k] for k in train], [labels[k] for k in train], epochs)

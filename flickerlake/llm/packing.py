@@ -75,14 +75,16 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """
     if path in _encoders:
         return _encoders[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    files: list = []
 
     def by_file(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
+        if not files:  # read when the first text asks for it
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            files.append(Tokenizer.from_file(path))
+            files[0].encode_special_tokens = True
+        return files[0].encode(text, add_special_tokens=False).ids
 
     encode = by_file
     twin = path.removesuffix(".json") + ".tiktoken"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, learnable, materialize, within
-from .ftrl import Ftrl
+from .ftrl import Ftrl, settled
 
 DIMS = 1 << 18
 MAX_ROWS = 6000
@@ -114,14 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, dims: int = DIMS, max_rows: int = MA
     rows = texts.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, at array<int>, x array<float>")
     rank = F.xxhash64(F.lit("quality"), "doc_id").alias("rank")
     rows = within(materialize(rows.select("*", rank), "quality-sample"), max_entries).drop("rank").toArrow()
-    # repeated doc_ids go by their features, so that the order of training is settled
-    order = sorted(range(len(rows)), key=lambda k: (rows.column("doc_id")[k].as_py(), rows.column("at")[k].values.to_numpy().tobytes(), rows.column("x")[k].values.to_numpy().tobytes()))
-    rows = rows.take(pa.array(order, pa.int64()))
     label = rows.column("label").to_pylist()
     if len(set(label)) < 2:
         return Model(np.zeros(dims, np.float32), 50.0 * (2 * label[0] - 1) if label else 0.0)
-    vectors = [(a.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float)) for a, x in zip(rows.column("at"), rows.column("x"))]
-    weights, bias = Ftrl(dims, 2, l1=l1, l2=l2).fit(vectors, label, epochs)
+    # views of what was received, so that the sample is held once
+    vectors = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(rows.column("at"), rows.column("x"))]
+    order = settled(rows.column("doc_id").to_pylist(), lambda k: (vectors[k][0].tobytes(), vectors[k][1].tobytes(), label[k]))
+    weights, bias = Ftrl(dims, 2, l1=l1, l2=l2).fit([vectors[k] for k in order], [label[k] for k in order], epochs)
     return Model((weights[:, 1] - weights[:, 0]).astype(np.float32), float(bias[1] - bias[0]))
 
 
