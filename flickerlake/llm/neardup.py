@@ -1,10 +1,10 @@
 """SimHash near-dedup at a stated similarity: retrieval by fingerprints and bands, decision by whole texts.
 
 Texts of a similarity of 0.8 in 5-word shingles differ in far more of a fingerprint's 64 bits than a
-trie self-join can allow (3 to 11 where measured), so ``simhash`` alone would find next to none of them. Here
-its self-join is one of two ways to candidates; the other is 24 MinHash bands of 5 rows over the same
-shingles' hashes, where two sets of similarity 0.8 share a band with a chance of 1 - (1 - 0.8^5)^24 =
-0.9999. Every candidate is verified by the exact Jaccard similarity of the two whole sets.
+trie self-join can allow (4 to 14 where measured), so ``simhash`` alone would find next to none of them.
+Here its self-join is one of two ways to candidates; the other is 24 MinHash bands of 5 rows over the
+same shingles' hashes, where two sets of similarity 0.8 share a band with a chance of
+1 - (1 - 0.8^5)^24 = 0.9999. Every candidate is verified by the exact Jaccard similarity of the two whole sets.
 
 Words are separated by white space, A-Z lower-cased; a text's set holds the 64-bit hashes of its runs
 of ``SHINGLE`` words, of all its words if they are fewer. Equal sets are one node. Nodes are sorted by
@@ -205,8 +205,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    dealt = keyed_join(pairs, parts, ["a"], pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
     firsts = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     return firsts.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(task, "a long, b long").distinct()
