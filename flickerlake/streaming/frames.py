@@ -3,8 +3,8 @@
 A frame's counts leave when the watermark passes its end; the delay stands for the longest time that
 a framer waits before it gives a frame up. Events that are later than that are dropped. ``frames`` gives a
 frame as soon as all its pixels are there, and what there is of it when the wait is over; ``held_pixels``
-gives a pixel that has been silent for too long; both end with the stream's last batch, when the source
-has moved the watermark past their timers.
+gives a pixel that has been silent for too long; a stream that ends leaves behind what no timer has
+reached, so a source closes with an event later than all waits, which flushes every frame and pixel.
 """
 
 from __future__ import annotations
