@@ -33,7 +33,7 @@ MAX_ROWS = 6000
 MAX_ENTRIES = 16_000_000
 THRESHOLD = 0.3
 CHUNK = 1 << 18
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
 
