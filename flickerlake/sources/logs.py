@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The pickle mark, and the texts that tell entries and lines apart.
 PROTOCOL = b"\x80"
-FOUND, RATE, PEER, SCORES, REBUILT, SIZES = "ADDER FAST:", "bps:", "OpenCV FAST:", "Feature results:", "RECONSTRUCTION", "Compressed adu"
+FOUND, RATE, PEER, SCORES, REBUILT, SIZES = " FAST:", "bps:", "OpenCV FAST:", "Feature results:", "RECONSTRUCTION", "Compressed adu"
 TICKS, INTERVAL, LONGEST = "Ticks per second", "ticks per source interval", "t_max"
 MEGA = 1024 * 1024
 BEST_PSNR = 60.0
@@ -55,12 +55,10 @@ def parse(data: bytes) -> tuple[dict, list[dict]]:
         value = entry()
         if isinstance(value, str):
             if FOUND in value:
-                rows[-1]["own_time"] = int(value.split(": ")[1])
+                rows[-1]["peer_time" if PEER in value else "own_time"] = int(value.split(": ")[1])
             elif RATE in value:
                 rows[-1]["event_bitrate"] = float(value.split(": ")[1]) / MEGA
                 rows.append({})
-            elif PEER in value:
-                rows[-1]["peer_time"] = int(value.split(": ")[1])
             elif SCORES in value:
                 rows[-1].update(precision=entry(), recall=entry(), accuracy=entry())
             elif REBUILT in value:

@@ -141,7 +141,7 @@ def log_bytes():
     put = lambda v: pickle.dumps(v, 3)
     out = b"10x8x1\n" + b"META: Ticks per second: 7650\nMETA: ticks per source interval: 255\nMETA: t_max: 510\n"
     for k in range(3):
-        out += put(5 + k) + put(f"\nADDER FAST: {100 + k}") + put(f"\nOpenCV FAST: {50 + k}") + put(7 + k)
+        out += put(5 + k) + put(f"\nOwn FAST: {100 + k}") + put(f"\nOpenCV FAST: {50 + k}") + put(7 + k)
         out += put("Feature results:") + put(0.5) + put(0.25) + put(0.75)
         out += put({"psnr": 70.0 + k, "mse": 1.5, "ssim": None}) + put(f"\nbps: {1048576.0 * (k + 1)}")
     out += put(99) + put("RECONSTRUCTION") + b"".join(put({"psnr": 30.0 + k, "mse": 2.0, "ssim": 90.0}) for k in range(3))
