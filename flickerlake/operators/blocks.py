@@ -2,8 +2,13 @@
 
 A unit holds the events of one time window, as blocks of 16 x 16 pixels of a channel. First events are
 coded against the first event of the pixel before, later ones against a prediction from the pixel's
-last interval. Units are coded apart from each other, each in one task; a unit is bounded by its window.
-Coding is lossless for the events that ``codec.placed`` keeps. The stream that units make up has a header, then each unit behind its number and length.
+last interval. A unit is coded in parts of at most ``PART_EVENTS`` events, in order of blocks and pixels, so
+neither a full window nor a pixel with many events is held at once. Parts are coded apart from each other, as
+small units are: each has contexts of its own, names its first and last place, and takes a pixel's first event
+there for a first one, wherever it was cut. Blocks between two parts have no events and no marks.
+Coding is lossless for the events that ``codec.placed`` keeps and that lie within the header's plane. The stream
+that units make up has a header, then each part behind its unit's number and its length. Records without the bit
+``PART`` in their number hold a whole unit, as streams did before there were parts.
 """
 
 from __future__ import annotations
@@ -13,18 +18,20 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..functions.events import D_EMPTY, long
+from ..functions.events import D_EMPTY, long, whole
 from ..sources import manifests
 from ..sources.streams import FIXED_HEADER, MAGIC, Header, PixelEvents
 from ..sources.streams import LABEL as RAW_LABEL
-from .codec import BLOCK, D_SHIFT_MAX, NO_EVENT, SHIFT_WHOLE, SKIP, T_RESIDUAL_MAX, placed
+from .codec import BLOCK, D_SHIFT_MAX, NO_EVENT, SHIFT_WHOLE, SKIP, T_RESIDUAL_MAX, numbered, unit
 from .entropy import Context, Decoder, Encoder
 
 # Fixed value: residuals of d are coded 255 higher.
@@ -35,6 +42,11 @@ T_LIKELY = [(0, 9, 10)]
 COMPRESSED_MAGIC = b"addec"
 LABEL = "units"
 UNIT_HEAD = struct.Struct(">QI")
+# The bit of a unit's number that says that the record is a part, whose first and last place follow.
+PART, PART_HEAD = 1 << 63, struct.Struct(">QQ")
+PART_EVENTS = 1 << 14
+# Bytes of a file that one task reads, or one record more.
+STRETCH_BYTES = 1 << 18
 SCHEMA = "adu long, x long, y long, c long, d long, t long"
 Event = tuple[int, int]
 
@@ -81,17 +93,46 @@ class _Reader:
         return int.from_bytes(bytes(self.coder.take(self.model.t) for _ in range(size)), "big", signed=True)
 
 
-def _spots(header: Header) -> Iterator[list[tuple[int, int, int]]]:
-    """Blocks of the plane, each as its pixels (c, y, x) in order."""
-    for by in range(0, header.height, BLOCK):
-        for bx in range(0, header.width, BLOCK):
-            yield [(c, y, x) for c in range(header.channels) for y in range(by, min(by + BLOCK, header.height)) for x in range(bx, min(bx + BLOCK, header.width))]
+def _sizes(header: Header) -> tuple[int, int]:
+    """Blocks in a row of the plane, and places in a block; blocks at the plane's edges have places without a pixel."""
+    return -(-header.width // BLOCK), header.channels * BLOCK * BLOCK
 
 
-def encode_unit(events: dict[tuple[int, int, int], list[Event]], start: int, length: int, header: Header) -> bytes:
-    """Bytes of a unit that begins at ``start``; ``events`` by (c, y, x) in order of time."""
+def _place(header: Header) -> Column:
+    """A pixel's place in coding order, from x, y and c."""
+    across, size = _sizes(header)
+    block = whole(F.col("y"), BLOCK) * across + whole(F.col("x"), BLOCK)
+    return block * size + F.col("c") * (BLOCK * BLOCK) + F.col("y") % BLOCK * BLOCK + F.col("x") % BLOCK
+
+
+def _spot(place: int, header: Header) -> tuple[int, int, int]:
+    """The pixel (c, y, x) of a place."""
+    across, size = _sizes(header)
+    block, rest = divmod(place, size)
+    (by, bx), (c, rest) = divmod(block, across), divmod(rest, BLOCK * BLOCK)
+    return c, by * BLOCK + rest // BLOCK, bx * BLOCK + rest % BLOCK
+
+
+def _spots(header: Header, first: int = 0, last: int | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Blocks of the plane from a first place to a last one, each as its pixels (c, y, x) in order."""
+    across, size = _sizes(header)
+    if last is None:
+        last = across * -(-header.height // BLOCK) * size - 1
+    begin, end = _spot(first, header), _spot(last, header)
+    for block in range(first // size, last // size + 1):
+        by, bx = (k * BLOCK for k in divmod(block, across))
+        spots = [(c, y, x) for c in range(header.channels) for y in range(by, min(by + BLOCK, header.height)) for x in range(bx, min(bx + BLOCK, header.width))]
+        if block == first // size:
+            spots = [s for s in spots if s >= begin]
+        if block == last // size:
+            spots = [s for s in spots if s <= end]
+        yield spots
+
+
+def encode_unit(events: dict[tuple[int, int, int], list[Event]], start: int, length: int, header: Header, first: int = 0, last: int | None = None) -> bytes:
+    """Bytes of a unit that begins at ``start``, or of its part between two places; ``events`` by (c, y, x) in order of time."""
     out = _Writer()
-    for spots in _spots(header):
+    for spots in _spots(header, first, last):
         if not any(s in events for s in spots):
             out.d(SKIP)
             continue
@@ -104,23 +145,23 @@ def encode_unit(events: dict[tuple[int, int, int], list[Event]], start: int, len
             out.d(d - (before[0] if before else 0))
             out.t(t - (before[1] if before else start))
             before = d, t
-    for spots in _spots(header):
+    for spots in _spots(header, first, last):
         for s in spots:
             es = events.get(s, [])
             for k in range(1, len(es)):
-                change, last = es[k][0] - es[k - 1][0], es[k - 1][1] - es[k - 2][1] if k > 1 else 0
+                change, last_dt = es[k][0] - es[k - 1][0], es[k - 1][1] - es[k - 2][1] if k > 1 else 0
                 out.d(change)
-                out.t(es[k][1] - predict(k, change, es[k - 1], last, start, length))
+                out.t(es[k][1] - predict(k, change, es[k - 1], last_dt, start, length))
             if es:
                 out.d(NO_EVENT)
     return out.coder.done()
 
 
-def decode_unit(data: bytes, start: int, length: int, header: Header) -> dict[tuple[int, int, int], list[Event]]:
+def decode_unit(data: bytes, start: int, length: int, header: Header, first: int = 0, last: int | None = None) -> dict[tuple[int, int, int], list[Event]]:
     """The inverse of ``encode_unit``."""
     source = _Reader(data)
     events: dict[tuple[int, int, int], list[Event]] = {}
-    for spots in _spots(header):
+    for spots in _spots(header, first, last):
         before: Event | None = None
         for s in spots:
             symbol = source.d()
@@ -130,45 +171,58 @@ def decode_unit(data: bytes, start: int, length: int, header: Header) -> dict[tu
                 continue
             before = symbol + (before[0] if before else 0), source.t() + (before[1] if before else start)
             events[s] = [before]
-    for spots in _spots(header):
+    for spots in _spots(header, first, last):
         for s in spots:
             es = events.get(s)
             while es:
                 change = source.d()
                 if change == NO_EVENT:
                     break
-                last = es[-1][1] - es[-2][1] if len(es) > 1 else 0
-                t = predict(len(es), change, es[-1], last, start, length) + source.t()
+                last_dt = es[-1][1] - es[-2][1] if len(es) > 1 else 0
+                t = predict(len(es), change, es[-1], last_dt, start, length) + source.t()
                 es.append((es[-1][0] + change, t))
     return events
 
 
 def compress(events: DataFrame, header: Header) -> DataFrame:
-    """(adu, n, payload) of events(x, y, c, d, t, seq)."""
-    length = header.ref_interval * header.adu_interval
+    """(adu, first, last, n, payload) of events(x, y, c, d, t, seq): parts of units, with their first and last place.
 
-    def one(key: tuple, rows: pa.Table) -> pa.Table:
-        adu = key[0].as_py()
-        by: dict[tuple[int, int, int], list[Event]] = {}
-        rows = rows.sort_by([("t", "ascending"), ("seq", "ascending")])
-        for x, y, c, d, t in zip(*(rows.column(k).to_pylist() for k in ("x", "y", "c", "d", "t"))):
-            by.setdefault((c, y, x), []).append((d, t))
-        return pa.table({"adu": pa.array([adu], pa.int64()), "n": pa.array([rows.num_rows], pa.int64()), "payload": pa.array([encode_unit(by, adu * length, length, header)], pa.binary())})
+    Tasks get ranges of units and places, and their parts are in order. What is dealt out is a pixel in
+    a unit, so neither a unit nor a block is one task's work, and one shuffle serves numbering and coding.
+    """
+    length, most = header.ref_interval * header.adu_interval, PART_EVENTS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        for adu, own in groupby(rows, itemgetter(0)):
+            while part := [*islice(own, most)]:
+                first, last = part[0][1], part[-1][1]
+                by: dict[tuple[int, int, int], list[Event]] = {}
+                for place, pixel in groupby(part, itemgetter(1)):
+                    by[_spot(place, header)] = [(d, t) for *_, d, t in pixel]
+                payload = encode_unit(by, adu * length, length, header, first, last)
+                values = zip((adu, first, last, len(part)), [pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], kind) for v, kind in values), pa.array([payload], pa.binary())], ["adu", "first", "last", "n", "payload"])
 
     source = events.select(*(long(F.col(k)).alias(k) for k in ("x", "y", "d", "t", "seq")), long(F.coalesce("c", F.lit(0))).alias("c"))
-    return placed(source, length, ("x", "y", "c")).select("adu", *source.columns).groupBy("adu").applyInArrow(one, "adu long, n long, payload binary")
+    inside = [F.col(k).between(0, side - 1) for k, side in (("x", header.width), ("y", header.height), ("c", header.channels))]
+    source = source.where(inside[0] & inside[1] & inside[2]).select(unit(F.col("t"), length).alias("adu"), _place(header).alias("place"), "d", "t", "seq")
+    # the number keeps adaptive execution from joining ranges, whose bytes say little of the work in them
+    ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = numbered(source.repartitionByRange(ranges, "adu", "place"), ("adu", "place"))
+    return kept.sortWithinPartitions("adu", "place", "t", "seq").select("adu", "place", "d", "t").mapInArrow(task, "adu long, first long, last long, n long, payload binary")
 
 
 def decompress(units: DataFrame, header: Header) -> DataFrame:
-    """Events of units(adu, payload); order within a pixel is that of their times."""
+    """Events of units(adu, first, last, payload); order within a pixel is that of their times."""
     length = header.ref_interval * header.adu_interval
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for adu, payload in zip(batch.column("adu").to_pylist(), batch.column("payload").to_pylist()):
-                yield _rows(adu, decode_unit(payload, adu * length, length, header))
+            for adu, first, last, payload in zip(*(column.to_pylist() for column in batch.columns)):
+                yield _rows(adu, decode_unit(payload, adu * length, length, header, first, last))
 
-    return units.select("adu", "payload").mapInArrow(task, SCHEMA)
+    return units.select("adu", "first", "last", "payload").mapInArrow(task, SCHEMA)
 
 
 def _rows(adu: int, events: dict[tuple[int, int, int], list[Event]]) -> pa.RecordBatch:
@@ -184,15 +238,17 @@ class Written(WriterCommitMessage):
 
 
 @dataclass
-class Unit(InputPartition):
+class Stretch(InputPartition):
+    """Records of a file, from a byte on to another."""
+
     path: str
     header: dict
-    adu: int
-    place: int
+    begin: int
+    end: int
 
 
 class UnitWriter(DataSourceArrowWriter):
-    """Writes sorted (adu, payload) rows; the units of a task make one stream."""
+    """Writes sorted (adu, first, last, payload) rows; the parts of a task make one stream."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.header = options["path"], overwrite, Header(**json.loads(options["header"]))
@@ -204,13 +260,14 @@ class UnitWriter(DataSourceArrowWriter):
         with store.open_output_stream(f"{root}/{name}") as out:
             out.write(COMPRESSED_MAGIC + self.header.pack()[len(COMPRESSED_MAGIC) :])
             for batch in iterator:
-                for adu, payload in zip(batch.column("adu").to_pylist(), batch.column("payload").to_pylist()):
-                    places.append((adu, out.tell()))
-                    out.write(UNIT_HEAD.pack(adu, len(payload)) + payload)
+                for adu, first, last, payload in zip(*(batch.column(k).to_pylist() for k in ("adu", "first", "last", "payload"))):
+                    if not places or out.tell() - places[-1][1] >= STRETCH_BYTES:
+                        places.append((adu, out.tell()))
+                    out.write(UNIT_HEAD.pack(PART | adu, PART_HEAD.size + len(payload)) + PART_HEAD.pack(first, last) + payload)
         return Written(name, places[0][0] if places else -1, places)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """The manifest holds one place for each unit, in order of time."""
+        """The manifest holds (unit, byte) where each stretch begins, in order of time."""
         files = sorted((m.first, m.name, m.places) for m in messages if m and m.places)
         manifests.publish(self.path, LABEL, [[name, places] for _, name, places in files], self.overwrite)
 
@@ -221,14 +278,14 @@ class UnitWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{m.name}")
 
 
-def _walk(f: pa.NativeFile, at: int) -> Iterator[tuple[int, int]]:
-    """(adu, place) of a stream's units, found by their lengths; a unit that was cut off ends it."""
-    while at + UNIT_HEAD.size <= f.size():
+def _walk(f: pa.NativeFile, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """(number, byte) of a stream's records up to a byte, found by their lengths; a record that was cut off ends it."""
+    while at + UNIT_HEAD.size <= end:
         f.seek(at)
-        adu, length = UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))
-        if at + UNIT_HEAD.size + length > f.size():
+        number, length = UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))
+        if at + UNIT_HEAD.size + length > end:
             return
-        yield adu, at
+        yield number, at
         at += UNIT_HEAD.size + length
 
 
@@ -236,7 +293,7 @@ class UnitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def partitions(self) -> list[Unit]:
+    def partitions(self) -> list[Stretch]:
         store, root = fs.FileSystem.from_uri(self.path)
         if store.get_file_info(root).type == fs.FileType.File:
             entries = [(root, None)]
@@ -245,24 +302,31 @@ class UnitReader(DataSourceReader):
         out = []
         for name, places in entries:
             with store.open_input_file(name) as f:
-                head = f.read(FIXED_HEADER.size + 12)
+                head, size = f.read(FIXED_HEADER.size + 12), f.size()
                 if head[:5] != COMPRESSED_MAGIC:
                     raise ValueError(f"{name} is not a compressed stream")
                 header = Header.parse(MAGIC + head[5:])
-                places = [*_walk(f, header.size)] if places is None else places
-            out += [Unit(name, asdict(header), adu, place) for adu, place in places]
+                begins = [at for _, at in places] if places is not None else []
+                for _, at in _walk(f, header.size, size) if places is None else ():
+                    if not begins or at - begins[-1] >= STRETCH_BYTES:
+                        begins.append(at)
+            out += [Stretch(name, asdict(header), *ends) for ends in zip(begins, [*begins[1:], size])]
         return out
 
-    def read(self, partition: Unit | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(partition.path) as f:
-            f.seek(partition.place)
-            payload = f.read(UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))[1])
         header = Header(**partition.header)
         length = header.ref_interval * header.adu_interval
-        yield _rows(partition.adu, decode_unit(payload, partition.adu * length, length, header))
+        with store.open_input_file(partition.path) as f:
+            for number, at in _walk(f, partition.begin, partition.end):
+                f.seek(at)
+                payload = f.read(UNIT_HEAD.unpack(f.read(UNIT_HEAD.size))[1])
+                adu, places = number & ~PART, ()
+                if number & PART:
+                    places, payload = PART_HEAD.unpack_from(payload), payload[PART_HEAD.size :]
+                yield _rows(adu, decode_unit(payload, adu * length, length, header, *places))
 
 
 class CompressedEvents(DataSource):
@@ -283,10 +347,9 @@ class CompressedEvents(DataSource):
 
 
 def save(events: DataFrame, header: Header, path: str, mode: str = "append") -> None:
-    """Compress events and write them, ranged by time so that each task's stream is in order."""
+    """Compress events and write them; each task's stream is in order of units."""
     events.sparkSession.dataSource.register(CompressedEvents)
-    ordered = compress(events, header).select("adu", "payload").repartitionByRange("adu").sortWithinPartitions("adu")
-    ordered.write.format("compressed_events").mode(mode).options(path=path, header=json.dumps(asdict(header))).save()
+    compress(events, header).drop("n").write.format("compressed_events").mode(mode).options(path=path, header=json.dumps(asdict(header))).save()
 
 
 def load(spark, path: str) -> DataFrame:

@@ -26,10 +26,15 @@ def placed(events: DataFrame, length: int, of: tuple[str, ...] = ("x", "y")) ->
 
     From its third event on, a pixel's event that isn't later than the one before is dropped.
     """
-    pixel = Window.partitionBy(*of, "adu").orderBy("t", "seq")
     e = events.withColumn("adu", unit(F.col("t"), length)).withColumn("by", whole(F.col("y"), BLOCK)).withColumn("bx", whole(F.col("x"), BLOCK))
+    return numbered(e, (*of, "adu"))
+
+
+def numbered(events: DataFrame, of: tuple[str, ...]) -> DataFrame:
+    """Adds k to events whose pixel and unit the columns ``of`` name, and drops those that ``placed`` drops."""
+    pixel = Window.partitionBy(*of).orderBy("t", "seq")
     number, before = long(F.row_number().over(pixel)) - 1, F.lag("t").over(pixel)
-    kept = e.withColumn("k", number).withColumn("before", before).where((F.col("k") < 2) | (F.col("t") > F.col("before")))
+    kept = events.withColumn("k", number).withColumn("before", before).where((F.col("k") < 2) | (F.col("t") > F.col("before")))
     return kept.withColumn("k", number).drop("before")
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from flickerlake.operators import blocks as B
+from flickerlake.operators.codec import placed
 from flickerlake.operators.entropy import Context, Decoder, Encoder
 from flickerlake.sources.streams import Header
 
@@ -166,3 +167,84 @@ def test_likely_symbols_are_cheap_from_the_start():
     assert cost(B.Model().d, small) < cost(Context(513), small)
     # 21 + 20 + 21 symbols of 10, 21 of 20, the marks of 20 and 10, and 1 for each other
     assert B.Model().d.total == 62 * 10 + 21 * 20 + 20 + 10 + (513 - 62 - 21 - 2)
+
+
+@pytest.mark.parametrize("cuts", [[], [700], [100, 101, 512, 513, 2000]])
+def test_parts_of_a_unit_round_trip(cuts):
+    rng = random.Random(len(cuts))
+    header = Header(version=3, width=35, height=20, channels=2, ref_interval=100, adu_interval=30)
+    spots = [s for block in B._spots(header) for s in block]
+    assert len(spots) == len({*spots}) == 35 * 20 * 2
+    places = [p for p in range(6 * 512) if B._spot(p, header)[1] < 20 and B._spot(p, header)[2] < 35]
+    assert [B._spot(p, header) for p in places] == spots
+    events = {p: [(rng.choice([3, 5, 128, 255]), 6000 + t) for t in sorted(rng.sample(range(1, 3001), rng.randrange(1, 4)))] for p in rng.sample(places, 200)}
+    got = {}
+    for begin, end in zip([0, *cuts], [*cuts, 6 * 512]):
+        own = sorted(p for p in events if begin <= p < end)
+        part = {B._spot(p, header): events[p] for p in own}
+        back = B.decode_unit(B.encode_unit(part, 6000, 3000, header, own[0], own[-1]), 6000, 3000, header, own[0], own[-1]) if own else {}
+        assert back == part and not got.keys() & back.keys()
+        got |= back
+    assert got == {B._spot(p, header): es for p, es in events.items()}
+
+
+def test_no_part_holds_more_than_its_share_of_a_full_unit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "PART_EVENTS", 50)
+    rng = random.Random(8)
+    header = Header(version=3, width=20, height=18, channels=2, ref_interval=100, adu_interval=20)
+    # two units; one pixel alone has more events than a part
+    rows = [(rng.randrange(20), rng.randrange(18), rng.randrange(2), rng.choice([3, 5, 128, 255]), rng.randrange(1, 4001)) for _ in range(500)]
+    rows += [(17, 3, 1, rng.choice([3, 5, 6]), 2000 + 9 * k) for k in range(1, 200)]
+    rows = [(*r, k) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "x long, y long, c long, d long, t long, seq long")
+    units = B.compress(df, header)
+    counts = [(r.adu, r.n) for r in units.select("adu", "n").collect()]
+    assert {adu for adu, _ in counts} == {0, 1} and max(n for _, n in counts) <= 50 and len(counts) >= sum(n for _, n in counts) / 50
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning" not in plan
+    expected = sorted((r.x, r.y, r.c, r.d, r.t) for r in placed(df, 2000, ("x", "y", "c")).collect())
+    assert sorted((r.x, r.y, r.c, r.d, r.t) for r in B.decompress(units, header).collect()) == expected
+    B.save(df, header, str(tmp_path / "p"))
+    assert sorted((r.x, r.y, r.c, r.d, r.t) for r in B.load(spark, str(tmp_path / "p")).collect()) == expected
+
+
+def test_stretches_cover_a_stream(tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "STRETCH_BYTES", 300)
+    header = Header(version=3, width=16, height=16, ref_interval=100, adu_interval=10)
+    units = [(adu, {(0, y, 1): [(5, 1000 * adu + 3 + y)] for y in range(10)}) for adu in range(20)]
+    batch = [B.pa.record_batch({"adu": [adu], "first": [1], "last": [9 * 16 + 1], "payload": [B.encode_unit(es, 1000 * adu, 1000, header, 1, 9 * 16 + 1)]}) for adu, es in units]
+    path = str(tmp_path / "s")
+    writer = B.UnitWriter({"path": path, "header": B.json.dumps(B.asdict(header))}, False)
+    writer.commit([writer.write(iter(batch))])
+    expected = [(adu, 1, y, t) for adu, es in units for (_, y, _), [(_, t)] in es.items()]
+    for opened in (path, str(next((tmp_path / "s").glob("*.units")))):
+        reader = B.UnitReader({"path": opened})
+        stretches = reader.partitions()
+        assert 1 < len(stretches) < len(units)
+        assert [(r["adu"], r["x"], r["y"], r["t"]) for s in stretches for b in reader.read(s) for r in b.to_pylist()] == expected
+
+
+def test_streams_of_whole_units_are_still_read(spark, tmp_path):
+    header = Header(version=3, width=20, height=20, ref_interval=100, adu_interval=10)
+    units = [(adu, {(0, 3, 2): [(5, 1000 * adu + 7), (6, 1000 * adu + 9)], (0, 18, 17): [(4, 1000 * adu + 8)]}) for adu in range(3)]
+    data = B.COMPRESSED_MAGIC + header.pack()[5:]
+    for adu, events in units:
+        payload = B.encode_unit(events, 1000 * adu, 1000, header)
+        data += B.UNIT_HEAD.pack(adu, len(payload)) + payload
+    (tmp_path / "old.units").write_bytes(data)
+    got = sorted((r.adu, r.x, r.y, r.d, r.t) for r in B.load(spark, str(tmp_path / "old.units")).collect())
+    assert got == sorted((adu, x, y, d, t) for adu, events in units for (_, y, x), es in events.items() for d, t in es)
+
+
+def test_an_encoder_packs_its_bits_as_it_goes():
+    from flickerlake.operators.entropy import LOOSE
+
+    rng = random.Random(9)
+    symbols = [rng.randrange(256) for _ in range(5000)]
+    out, context, most = Encoder(), Context(256), 0
+    for s in symbols:
+        out.put(context, s)
+        most = max(most, len(out.bits))
+    assert most <= LOOSE
+    source, context = Decoder(out.done()), Context(256)
+    assert [source.take(context) for _ in symbols] == symbols
